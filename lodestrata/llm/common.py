@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows in one Arrow batch: documents can be long, so batches stay short.
 BATCH_ROWS = 512
@@ -54,6 +55,10 @@ def below(rate: Column, *keys: str) -> Column:
     return F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(1_000_000)) < rate * 1_000_000
 
 
+def with_fields(schema: T.StructType, **more: T.DataType) -> T.StructType:
+    return T.StructType([*schema.fields, *(T.StructField(k, t) for k, t in more.items())])
+
+
 def arrow_type(df_schema: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
     return pa.schema([(a.split()[0], kinds[a.split()[1]]) for a in df_schema.split(", ")])

@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestrata.llm.common import below, short_batches
+from lodestrata.llm.common import below, short_batches, with_fields
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 #: Windows that are run at once.
@@ -191,8 +192,9 @@ def identify(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
     """docs with lang_pred and score beside its own columns."""
     spark = docs.sparkSession
     short_batches(spark)
-    told = spark.sparkContext.broadcast(model)
-    out = docs.schema.add("lang_pred", "string").add("score", "double")
+    told = spark.sparkContext.broadcast(model)  # a few thousand weights
+    docs = docs.drop("lang_pred", "score")  # older answers
+    out = with_fields(docs.schema, lang_pred=T.StringType(), score=T.DoubleType())
     names = [f.name for f in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

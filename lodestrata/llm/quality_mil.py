@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestrata.llm.common import batch, below, rows_of, short_batches
+from lodestrata.llm.common import batch, below, rows_of, short_batches, with_fields
 
 PASSAGE = 512
 #: Bytes that are encoded at once.
@@ -214,7 +215,8 @@ def score_quality(docs: DataFrame, model: GatedAttention | None, threshold: floa
     spark = docs.sparkSession
     short_batches(spark)
     told = spark.sparkContext.broadcast(model)  # a few thousand weights
-    out = docs.schema.add("score", "double").add("predicted", "int")
+    docs = docs.drop("score", "predicted")  # older answers
+    out = with_fields(docs.schema, score=T.DoubleType(), predicted=T.IntegerType())
     names = [f.name for f in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
