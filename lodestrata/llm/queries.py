@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.llm import line_spread
 from lodestrata.llm.common import id_crc, table
 
 QUALITY_THRESHOLD = 0.3
@@ -33,6 +34,13 @@ def op2_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model, QUALITY_THRESHOLD).select("doc_id", (id_crc() % 5 == 0).alias("held_out"), "score", "predicted")
 
 
+def op3_llr_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.llr_rules import apply_rules
+
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return apply_rules(table(spark, sf_dir, "documents"), trusted)
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm.token_store import read_token_store, write_token_store
 
@@ -40,6 +48,12 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_store(write_token_store(docs, vocabulary("byte_bpe_50k.json"), end_id=0))
 
 
+def op5_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.anisotropic_search import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,14 +76,30 @@ def op8_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.drop("lang"), model).select("doc_id", (id_crc() % 4 == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.line_spread import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.chosen_path import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_mil": op2_quality_mil,
+    "op3_llr_rules": op3_llr_rules,
     "op4_token_store": op4_token_store,
+    "op5_anisotropic_search": op5_anisotropic_search,
     "op6_bpe_tree": op6_bpe_tree,
     "op7_packing": op7_packing,
     "op8_language_cnn": op8_language_cnn,
+    "op9_line_spread": op9_line_spread,
+    "op10_chosen_path": op10_chosen_path,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_line_spread": line_spread.ORACLE_SQL}
