@@ -43,11 +43,15 @@ from lodestrata.llm.shingles import U, alike, mixed, shingle_sets, sketches
 
 WIDTH, TREES, BRANCHES = 64, 16, 1.3
 START, DEEPEST, SMALL = 2, 4, 48
-#: Of WIDTH tokens; at similarity 0.85 fewer agree once in 30,000 pairs.
-AGREE = 42
 DEALINGS = 3
 
 
+def agreement(percent: int) -> int:
+    """Of WIDTH tokens: at this similarity fewer agree about once in 100,000 pairs."""
+    p = percent / 100
+    return int(WIDTH * p - 4.3 * (WIDTH * p * (1 - p)) ** 0.5)
+
+
 def _batch(**columns: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
 
@@ -136,7 +140,7 @@ def _forest(pairs: list[tuple[int, int, int]], n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _candidates(leaves: DataFrame, across: bool) -> DataFrame:
+def _candidates(leaves: DataFrame, least: int, across: bool) -> DataFrame:
     """block, a, b: candidates within small nodes; across: all between different labels, else a spanning forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +162,7 @@ def _candidates(leaves: DataFrame, across: bool) -> DataFrame:
                         some = np.flatnonzero(label[x] != label[y])
                         x, y = x[some], y[some]
                     same = (short[x] == short[y]).sum(1)
-                    good = np.flatnonzero((same >= AGREE) & (ids[x] != ids[y]))
+                    good = np.flatnonzero((same >= least) & (ids[x] != ids[y]))
                     if n > 2 and not across and len(good):
                         owner = np.searchsorted(f, x[good], "right") - 1
                         keep = []
@@ -250,7 +254,7 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def _unsettled(dense: DataFrame, labels: DataFrame, short: DataFrame) -> DataFrame:
+def _unsettled(dense: DataFrame, labels: DataFrame, short: DataFrame, least: int) -> DataFrame:
     """block, a, b: in large nodes of several components, the documents outside the largest with all that have another label."""
     marked = _labelled(dense.select("node", "id"), labels)
     parts = marked.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
@@ -262,7 +266,7 @@ def _unsettled(dense: DataFrame, labels: DataFrame, short: DataFrame) -> DataFra
         for b in batches:
             x, y, i, j = (b.column(k) for k in range(4))
             same = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, WIDTH) == np.frombuffer(b"".join(y.to_pylist()), np.uint8).reshape(-1, WIDTH)).sum(1)
-            good, i, j = same >= AGREE, np.asarray(i), np.asarray(j)
+            good, i, j = same >= least, np.asarray(i), np.asarray(j)
             yield _batch(a=(np.minimum(i, j)[good], pa.int64()), b=(np.maximum(i, j)[good], pa.int64()))
 
     pairs = met.select("other", "short", "i", "id").mapInArrow(run, "a long, b long").distinct()
@@ -277,16 +281,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     classes = written(full.groupBy("key").agg(F.min(F.struct("doc_id", "sketch", "short")).alias("m")).select(F.col("m.doc_id").alias("id"), "m.sketch", "m.short", "key"), "classes")
     tokens = classes.groupBy("id").agg(F.min(F.struct("sketch", "short")).alias("m")).select("id", "m.sketch", "m.short")
     found, dense = small_nodes(tokens)
-    short = tokens.select("id", "short")
+    short, least = tokens.select("id", "short"), agreement(percent)
     leaves = written(found.union(_dealt(dense)).join(short, "id"), "leaves")
-    links = confirmed(_candidates(leaves, across=False), docs, width, percent)
+    links = confirmed(_candidates(leaves, least, across=False), docs, width, percent)
     labels = components(links)
-    more = confirmed(_candidates(_labelled(leaves, labels), across=True), docs, width, percent)
+    more = confirmed(_candidates(_labelled(leaves, labels), least, across=True), docs, width, percent)
     if more.limit(1).count():
         links = links.union(more)
         labels = components(links)
     if dense.limit(1).count():
-        rest = written(_unsettled(dense, labels, short), "unsettled-pairs")
+        rest = written(_unsettled(dense, labels, short, least), "unsettled-pairs")
         if rest.limit(1).count():
             labels = components(links.union(confirmed(rest, docs, width, percent)))
     of_class = classes.select("key", F.col("id").alias("first")).join(labels.select(F.col("id").alias("first"), "label"), "first", "left").select("key", F.coalesce("label", "first").alias("component"))
