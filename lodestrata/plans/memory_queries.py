@@ -10,8 +10,8 @@ from lodestrata.plans.registry import query
 from lodestrata.plans.scalar_queries import NORM, SLUG
 from lodestrata.plans.testbed import ENTITIES, FACTS, Bed, sql
 
-STARTS = "starts AS (SELECT src, relation, dst, at FROM (SELECT *, lag(dst) OVER (PARTITION BY src, relation ORDER BY at, dst) AS earlier FROM assertions) WHERE earlier IS NULL OR earlier <> dst)"
-VALID = "facts AS (SELECT src, relation, dst, at AS valid_from, CASE WHEN n IS NULL THEN NULL ELSE greatest(n, at) END AS invalid_at FROM (SELECT *, lead(at) OVER (PARTITION BY src, relation ORDER BY at, dst) AS n FROM starts))"
+STARTS = "starts AS (SELECT src, relation, dst, asserted FROM (SELECT *, lag(dst) OVER (PARTITION BY src, relation ORDER BY asserted, dst) AS earlier FROM assertions) WHERE earlier IS NULL OR earlier <> dst)"
+VALID = "facts AS (SELECT src, relation, dst, asserted AS valid_from, CASE WHEN n IS NULL THEN NULL ELSE greatest(n, asserted) END AS invalid_at FROM (SELECT *, lead(asserted) OVER (PARTITION BY src, relation ORDER BY asserted, dst) AS n FROM starts))"
 SIDES = "sides AS (SELECT src AS slug, src, relation, dst, valid_from FROM facts WHERE invalid_at IS NULL UNION ALL SELECT dst, src, relation, dst, valid_from FROM facts WHERE invalid_at IS NULL AND dst <> src)"
 AS_OF = "2024-01-15 00:00:00"
 

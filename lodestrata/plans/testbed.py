@@ -101,7 +101,7 @@ REQUESTS = f"requests AS (SELECT event_id AS id, event_type AS method, concat('/
 NODES = "nodes AS (SELECT 'module' AS type, CAST(r_regionkey AS VARCHAR) AS id, r_name AS name FROM region UNION ALL SELECT 'class', CAST(n_nationkey AS VARCHAR), n_name FROM nation UNION ALL SELECT 'function', CAST(s_suppkey AS VARCHAR), s_name FROM supplier UNION ALL SELECT 'table', CAST(p_partkey AS VARCHAR), p_name FROM part)"
 EDGES = "edges AS (SELECT 'in' AS type, concat('class:', n_nationkey) AS src, concat('module:', n_regionkey) AS dst, CAST(1.0 AS DOUBLE) AS confidence FROM nation UNION ALL SELECT 'of', concat('function:', s_suppkey), concat('class:', s_nationkey), CAST(0.9 AS DOUBLE) FROM supplier UNION ALL SELECT 'uses', concat('function:', l_suppkey), concat('table:', l_partkey), least(CAST(1.0 AS DOUBLE), CAST(0.5 AS DOUBLE) + count(*) * CAST(0.125 AS DOUBLE)) FROM lineitem GROUP BY l_suppkey, l_partkey)"
 ADJ = "adj AS (SELECT src AS node, type, dst AS other FROM edges UNION SELECT dst, type, src FROM edges)"
-FACTS = f"assertions AS (SELECT concat('user-', user_id) AS src, event_type AS relation, concat('k-', {K.format(chr(39) + 'none' + chr(39))}) AS dst, ts AS at, event_id AS episode FROM events)"
+FACTS = f"assertions AS (SELECT concat('user-', user_id) AS src, event_type AS relation, concat('k-', {K.format(chr(39) + 'none' + chr(39))}) AS dst, ts AS asserted, event_id AS episode FROM events)"
 ENTITIES = "entities AS (SELECT concat('user-', c_custkey) AS slug, c_name AS name, c_mktsegment AS type, [c_mktsegment, concat('cust ', c_custkey)] AS aliases FROM customer)"
 MESSAGES = "messages AS (SELECT conv_id AS room_id, turn AS seq, role AS sender, text AS body FROM conversations)"
 
