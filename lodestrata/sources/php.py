@@ -156,8 +156,8 @@ def facade_refs(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
     table = occurrences.sparkSession.createDataFrame(rows, "facade string, backing string")  # under a hundred rows
     used = occurrences.where("not is_definition").withColumn("m", method_parts(descriptor("symbol"))).where("m.method <> ''")
     met = used.join(F.broadcast(table), F.col("m.class") == F.col("facade"))
-    own = symbols.select(F.col("symbol").alias("target"), method_parts(descriptor("symbol")).alias("t")).where("t.method <> ''").select("target", F.col("t.class").alias("backing"), F.col("t.method").alias("method"))
+    own = symbols.select(F.col("symbol").alias("target"), method_parts(descriptor("symbol")).alias("t")).where("t.method <> ''").select("target", F.col("t.class").alias("own_class"), F.col("t.method").alias("own_method"))
     parts = F.split("symbol", " ")
     made = F.concat(F.array_join(F.slice(parts, F.lit(1), F.lit(4)), " "), F.lit(" "), "backing", F.lit("#"), "m.method", F.lit("()."))
-    both = met.join(own, (met["backing"] == own["backing"]) & (met["m.method"] == own["method"]), "left")
-    return both.select("file", "line", met["symbol"].alias("facade_symbol"), F.coalesce("target", made).alias("symbol"))
+    both = met.join(own, (F.col("backing") == F.col("own_class")) & (F.col("m.method") == F.col("own_method")), "left")
+    return both.select("file", "line", F.col("symbol").alias("facade_symbol"), F.coalesce("target", made).alias("symbol"))
