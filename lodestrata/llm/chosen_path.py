@@ -13,14 +13,18 @@ are candidates.
 Candidates are confirmed on the full sets.  First each node gives only a spanning
 forest of its candidates, the most similar first; then, among candidates whose ends
 are still in different components, all others.  So a group of near copies costs
-links in proportion to its size, and no candidate between components goes
-unchecked.  Nodes that are still large ``DEEPEST`` levels down hold documents that
-agree nearly everywhere; they are compared in random blocks, in several dealings,
-and if such a node is still not one component, its documents outside its largest
-component meet all of the node.
+links in proportion to its size.
 
-Two documents at similarity 0.85 share a small node in a tree with probability over
-0.43, so 16 trees lose one such pair in 8,000, and fewer above it.
+Nodes that are still large ``DEEPEST`` levels down hold documents that agree nearly
+everywhere.  They are dealt into random small blocks, several times over, which joins
+a group of near copies into one component.  Those that are not one component by then
+are branched on, down to ``LAST`` levels, with candidates between components only;
+what is large even there is dealt into blocks again.  No step makes more rows than a
+fixed number for each document, whatever the sizes of the groups.
+
+Two documents at similarity 0.85 share a small node of a tree with probability over
+0.45 (0.35 if they need all LAST levels), so 16 trees lose one such pair in 10,000
+(in 1,000), and fewer above that similarity.
 
 Null or wordless texts have an empty set and stand alone; so does a null doc_id.
 Rows that share a doc_id share a component; if their texts differ, the set with the
@@ -41,15 +45,17 @@ from lodestrata.llm.common import rows_of, short_batches, written
 from lodestrata.llm.components import components
 from lodestrata.llm.shingles import U, alike, mixed, shingle_sets, sketches
 
-WIDTH, TREES, BRANCHES = 64, 16, 1.3
-START, DEEPEST, SMALL = 2, 4, 48
+#: Tokens that trees branch by, and minwise values that candidates are told by.
+WIDTH, CHECKS = 64, 256
+TREES, BRANCHES = 16, 1.4
+START, DEEPEST, LAST, SMALL = 2, 4, 12, 48
 DEALINGS = 3
 
 
 def agreement(percent: int) -> int:
-    """Of WIDTH tokens: at this similarity fewer agree about once in 100,000 pairs."""
+    """Of CHECKS values: at this similarity fewer agree about once in 100,000 pairs."""
     p = percent / 100
-    return int(WIDTH * p - 4.3 * (WIDTH * p * (1 - p)) ** 0.5)
+    return int(CHECKS * p - 4.3 * (CHECKS * p * (1 - p)) ** 0.5)
 
 
 def _batch(**columns: tuple) -> pa.RecordBatch:
@@ -65,8 +71,8 @@ def described(docs: DataFrame, width: int) -> DataFrame:
             full = [k for k, s in enumerate(sets) if len(s)]
             sketch: list[bytes | None] = [None] * len(sets)
             short: list[bytes | None] = [None] * len(sets)
-            for k, row in zip(full, sketches([sets[k] for k in full], WIDTH)):
-                sketch[k], short[k] = row.tobytes(), row.astype(np.uint8).tobytes()
+            for k, row in zip(full, sketches([sets[k] for k in full], CHECKS)):
+                sketch[k], short[k] = row[:WIDTH].tobytes(), row.astype(np.uint8).tobytes()
             yield _batch(doc_id=(ids, pa.int64()), n_shingles=([len(s) for s in sets], pa.int64()), key=([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), sketch=(sketch, pa.binary()), short=(short, pa.binary()))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, sketch binary, short binary")
@@ -146,7 +152,7 @@ def _candidates(leaves: DataFrame, least: int, across: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "block"):
             block, ids = t.column("block").to_numpy(), t.column("id").to_numpy()
-            short = np.frombuffer(b"".join(t.column("short").to_pylist()), np.uint8).reshape(-1, WIDTH)
+            short = np.frombuffer(b"".join(t.column("short").to_pylist()), np.uint8).reshape(-1, CHECKS)
             label = t.column("label").to_numpy() if across else None
             edge = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
             size = np.diff(edge)
@@ -154,7 +160,7 @@ def _candidates(leaves: DataFrame, least: int, across: bool) -> DataFrame:
             for n in np.unique(size[size > 1]):
                 first = edge[:-1][size == n]
                 i, j = np.triu_indices(n, 1)
-                step = max(1, (1 << 16) // len(i))
+                step = max(1, (1 << 14) // len(i))
                 for k in range(0, len(first), step):
                     f = first[k : k + step]
                     x, y = (f[:, None] + i).ravel(), (f[:, None] + j).ravel()
@@ -228,19 +234,22 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return written(members.join(known, "id").repartition("block").sortWithinPartitions("block", "id").mapInArrow(check, "a long, b long"), "links")
 
 
-def small_nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """block, id of the small nodes of all trees (two documents at least), and node, id, n of nodes that stay large."""
-    level, rooted, found = classes, True, None
-    for depth in range(START, DEEPEST + 1):
-        rows = written(_branched(level, START if rooted else 1, rooted), "nodes")
+def small_nodes(level: DataFrame, tokens: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame]:
+    """block, id of the small nodes below level (two documents at least), and node, id, n of nodes that are large at the last level.
+
+    level: id, sketch, and node unless it is the roots of all trees (first = START).
+    """
+    found = None
+    for depth in range(first, last + 1):
+        rows = written(_branched(level, START if depth == START else 1, depth == START), "nodes")
         sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         sized = written(rows.join(sizes, "node"), "sized")
         here = sized.where(F.col("n") <= SMALL).select(F.col("node").alias("block"), "id")
         found = here if found is None else found.union(here)
         large = sized.where(F.col("n") > SMALL)
-        if depth == DEEPEST or large.limit(1).count() == 0:
+        if depth == last or large.limit(1).count() == 0:
             break
-        level, rooted = large.select("node", "id").join(classes.select("id", "sketch"), "id"), False
+        level = large.select("node", "id").join(tokens, "id")
     return found, large
 
 
@@ -254,23 +263,10 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def _unsettled(dense: DataFrame, labels: DataFrame, short: DataFrame, least: int) -> DataFrame:
-    """block, a, b: in large nodes of several components, the documents outside the largest with all that have another label."""
-    marked = _labelled(dense.select("node", "id"), labels)
-    parts = marked.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    within = written(marked.join(parts.select("node", "most"), "node").join(short, "id"), "unsettled")
-    few = within.where("label <> most").select("node", F.col("id").alias("i"), F.col("label").alias("own"), F.col("short").alias("other"))
-    met = few.join(within.select("node", "id", "label", "short"), "node").where("label <> own")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y, i, j = (b.column(k) for k in range(4))
-            same = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, WIDTH) == np.frombuffer(b"".join(y.to_pylist()), np.uint8).reshape(-1, WIDTH)).sum(1)
-            good, i, j = same >= least, np.asarray(i), np.asarray(j)
-            yield _batch(a=(np.minimum(i, j)[good], pa.int64()), b=(np.maximum(i, j)[good], pa.int64()))
-
-    pairs = met.select("other", "short", "i", "id").mapInArrow(run, "a long, b long").distinct()
-    return pairs.select(F.xxhash64("a", "b").alias("block"), "a", "b")
+def _unsettled(dense: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, id of the large nodes that hold several components."""
+    several = _labelled(dense.select("node", "id"), labels).groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("node")
+    return written(dense.select("node", "id").join(several, "node"), "unsettled")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
@@ -280,8 +276,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     full = rows.where("key is not null and doc_id is not null")
     classes = written(full.groupBy("key").agg(F.min(F.struct("doc_id", "sketch", "short")).alias("m")).select(F.col("m.doc_id").alias("id"), "m.sketch", "m.short", "key"), "classes")
     tokens = classes.groupBy("id").agg(F.min(F.struct("sketch", "short")).alias("m")).select("id", "m.sketch", "m.short")
-    found, dense = small_nodes(tokens)
-    short, least = tokens.select("id", "short"), agreement(percent)
+    sketch, short, least = tokens.select("id", "sketch"), tokens.select("id", "short"), agreement(percent)
+    found, dense = small_nodes(sketch, sketch, START, DEEPEST)
     leaves = written(found.union(_dealt(dense)).join(short, "id"), "leaves")
     links = confirmed(_candidates(leaves, least, across=False), docs, width, percent)
     labels = components(links)
@@ -289,10 +285,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     if more.limit(1).count():
         links = links.union(more)
         labels = components(links)
-    if dense.limit(1).count():
-        rest = written(_unsettled(dense, labels, short, least), "unsettled-pairs")
-        if rest.limit(1).count():
-            labels = components(links.union(confirmed(rest, docs, width, percent)))
+    rest = _unsettled(dense, labels)
+    if rest.limit(1).count():
+        found, dense = small_nodes(rest.join(sketch, "id"), sketch, DEEPEST + 1, LAST)
+        deep = written(_labelled(found.union(_dealt(dense)).join(short, "id"), labels), "deep")
+        more = confirmed(_candidates(deep, least, across=True), docs, width, percent)
+        if more.limit(1).count():
+            labels = components(links.union(more))
     of_class = classes.select("key", F.col("id").alias("first")).join(labels.select(F.col("id").alias("first"), "label"), "first", "left").select("key", F.coalesce("label", "first").alias("component"))
     out = rows.select("doc_id", "n_shingles", "key").join(of_class, "key", "left")
     component = F.coalesce("component", "doc_id")

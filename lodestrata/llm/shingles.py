@@ -67,19 +67,27 @@ def shingle_sets(texts: list[str | None], width: int = 3) -> list[np.ndarray]:
 
 
 def sketches(sets: list[np.ndarray], n: int, seed: int = 11) -> np.ndarray:
-    """n minwise values of each set (which isn't empty)."""
+    """n minwise values of each set (which isn't empty).
+
+    The upper halves of the hashes are permuted as 32-bit numbers, which processors
+    multiply in vectors.
+    """
     r = np.random.default_rng(seed)
-    a, b = r.integers(1, 1 << 63, n, dtype=U) * U(2) + U(1), r.integers(0, 1 << 63, n, dtype=U)
+    a, b = r.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 1 << 32, n, dtype=np.uint32)
     out = np.zeros((len(sets), n), np.uint32)
     first, size = 0, 0
     for k in range(len(sets) + 1):
-        if k == len(sets) or size > 1 << 18:
+        if k == len(sets) or size > 1 << 15:  # what fits into a processor's cache
             some = sets[first:k]
             if some:
-                flat = np.concatenate(some)
+                flat = (np.concatenate(some) >> U(32)).astype(np.uint32)
                 starts = np.append(0, np.cumsum([len(s) for s in some])[:-1])
+                held = np.empty_like(flat)
                 for j in range(n):
-                    out[first:k, j] = np.minimum.reduceat(((flat ^ b[j]) * a[j]) >> U(32), starts)
+                    np.bitwise_xor(flat, b[j], out=held)
+                    np.multiply(held, a[j], out=held)
+                    held ^= held >> np.uint32(15)
+                    out[first:k, j] = np.minimum.reduceat(held, starts)
             first, size = k, 0
         if k < len(sets):
             size += len(sets[k])
