@@ -43,6 +43,8 @@ BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets comment comments commentlist disqus reply replies respond pagination pager tags rating print search copyright legal disclaimer contentinfo complementary skip".split()
 )
 GOOD_WORDS = frozenset("article articlebody body content entry main page post story text blog".split())
+#: In names like page-with-sidebar, which say what else is on the page.
+LAYOUT = frozenset("with without has no".split())
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -56,12 +58,16 @@ class Node:
 
 
 def _marks(tag: str) -> frozenset[str]:
-    found = " ".join(a or b or c for a, b, c in MARKS.findall(tag))
-    return frozenset(SPLIT.split(CAMEL.sub(" ", found).lower())) if found else frozenset()
+    out: set[str] = set()
+    for name in " ".join(a or b or c for a, b, c in MARKS.findall(tag)).split():
+        words = SPLIT.split(CAMEL.sub(" ", name).lower())
+        if not LAYOUT.intersection(words):
+            out.update(words)
+    return frozenset(out)
 
 
-def parse(html: str) -> Node:
-    """The tree of a page without the subtrees that can't hold article text."""
+def parse(html: str, by_marks: bool = True) -> Node:
+    """The tree of a page without the subtrees that can't hold article text; by_marks: nor those whose class, id or role says so."""
     root = node = Node("html", None)
     depth_dropped, raw = [], ""
     for m in TOKEN.finditer(html):
@@ -123,7 +129,7 @@ def parse(html: str) -> Node:
                 node = at.parent
         marks = _marks(t) if "=" in t else frozenset()
         inside = _inside(node)
-        bad = name in DROPPED or (name == "header" and not inside) or HIDDEN.search(t) or (marks & BAD_WORDS and name not in ("article", "main", "p", "h1") and not marks & {"article", "articlebody"})
+        bad = name in DROPPED or (name == "header" and not inside) or HIDDEN.search(t) or (by_marks and marks & BAD_WORDS and name not in ("article", "main", "p", "h1") and not marks & {"article", "articlebody"})
         if bad:
             if not (t.endswith("/>") and name in ("svg",)):
                 depth_dropped.append(name)
@@ -252,8 +258,13 @@ def blocks(kept: list[Node]) -> str:
 
 
 def main_text(html: str | None) -> str:
-    """The text of one page; empty if there is none."""
-    return blocks(score(parse(html))[1]) if html else ""
+    """The text of one page; empty if there is none.
+
+    A page that its classes and ids would leave empty is read again without them.
+    """
+    if not html:
+        return ""
+    return blocks(score(parse(html))[1]) or blocks(score(parse(html, by_marks=False))[1])
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
