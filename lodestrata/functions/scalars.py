@@ -217,3 +217,28 @@ def array_union_keep(existing: Column | str, incoming: Column | str) -> Column:
 def name_set(name: Column | str, aliases: Column | str) -> Column:
     """The distinct normalized names of an entity."""
     return F.array_distinct(F.filter(F.transform(F.concat(F.array(col(name)), col(aliases)), normalize), lambda x: x != ""))
+
+
+#: Crockford's base 32.
+BASE32 = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def ulid(ms: int, random: bytes) -> str:
+    """26 characters for 48 bits of time and 80 of chance."""
+    if len(random) != 10:
+        raise ValueError("80 random bits are needed")
+    n = (ms & (1 << 48) - 1) << 80 | int.from_bytes(random, "big")
+    return "".join(BASE32[n >> 5 * k & 31] for k in range(25, -1, -1))
+
+
+def new_ulids(at: Column | str) -> Column:
+    """An id for each row from its time; as random as the system is."""
+    import os
+
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def make(micros: pd.Series) -> pd.Series:
+        return pd.Series([ulid(int(m) // 1000, os.urandom(10)) for m in micros])
+
+    return make(F.unix_micros(col(at)))

@@ -101,3 +101,31 @@ def batches(rows: DataFrame, size: int = 1000, *order: str) -> DataFrame:
 def roll_up(results: DataFrame) -> DataFrame:
     """Totals over per-file results (path, state, episodes, error)."""
     return results.agg(F.count("*").alias("files"), F.count_if(F.col("state").isin("new", "grown", "truncated")).alias("ingested"), F.count_if(F.col("state") == "active").alias("active"), F.count_if(F.col("state") == "unchanged").alias("unchanged"), F.coalesce(F.sum("episodes"), F.lit(0)).alias("episodes"), F.count("error").alias("errors"))
+
+
+def newest_source(files: DataFrame) -> DataFrame:
+    """The newest change of a source file (path, mod_time)."""
+    return files.where(language_of("path").isNotNull()).agg(F.max("mod_time").alias("newest"))
+
+
+def languages(files: DataFrame) -> DataFrame:
+    """Language and number of source files (path)."""
+    return files.select(language_of("path").alias("language")).where("language is not null").groupBy("language").agg(F.count("*").alias("file_count"))
+
+
+def nearest_index(paths: DataFrame, repos: DataFrame) -> DataFrame:
+    """For each path the deepest indexed repository (repo) above it, or null."""
+    from lodestrata.functions.scalars import ancestors
+
+    up = paths.select("path", F.explode(ancestors("path", 1)).alias("repo")).join(repos.select("repo").distinct(), "repo")
+    best = up.groupBy("path").agg(F.max_by("repo", F.length("repo")).alias("repo"))
+    return paths.join(best, "path", "left")
+
+
+def counts(**tables: DataFrame) -> DataFrame:
+    """The number of rows of each table."""
+    out = None
+    for name, df in tables.items():
+        part = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
+        out = part if out is None else out.unionByName(part)
+    return out

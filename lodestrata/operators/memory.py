@@ -237,3 +237,49 @@ def describe(entities: DataFrame, slug: str, description: str) -> DataFrame:
 
 def generic_aliases(entities: DataFrame) -> DataFrame:
     return entities.select("slug", F.explode("aliases").alias("alias")).where(is_generic_alias("alias"))
+
+
+def remember(episodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Episodes and those of texts (source_ref, text, at) that aren't known yet, without secrets."""
+    from lodestrata.functions.scalars import redact, stable_id
+
+    made = texts.select(stable_id("source_ref").alias("id"), F.lit("manual").alias("source"), "source_ref", redact("text").alias("summary"), F.col("at").alias("occurred_at"))
+    return episodes.select("id", "source", "source_ref", "summary", "occurred_at").unionByName(new_and_known(made, episodes)[0])
+
+
+EXTRACTED = "summary string, entities array<struct<name:string,type:string,description:string,aliases:array<string>>>, facts array<struct<src:string,relation:string,dst:string,fact:string,valid_from:string,confidence:double>>"
+
+
+def extracted(episodes: DataFrame, extractor, glossary: DataFrame | None = None) -> DataFrame:
+    """Id, raw, result and parse_ok of each episode (id, text).
+
+    extractor: a function from a prompt to an answer, given from outside; an answer
+    that isn't one JSON object is tried twice more.  Rows that aren't parse_ok belong
+    into the dead-letter table (plans.storage.split_rejects).
+    """
+    from lodestrata.functions.scalars import extraction_prompt, fenced_json
+
+    lines = [r.line for r in glossary.select("line").limit(200).collect()] if glossary is not None else []
+
+    @F.pandas_udf("string")
+    def ask(prompts: pd.Series) -> pd.Series:
+        import json
+        import re
+
+        out = []
+        for p in prompts:
+            answer = ""
+            for _ in range(3):
+                answer = extractor(p) or ""
+                try:
+                    json.loads(re.search(r"(?s)\{.*\}", answer)[0])
+                    break
+                except (TypeError, ValueError):
+                    continue
+            out.append(answer)
+        return pd.Series(out)
+
+    prompt = extraction_prompt("text", F.array(*[F.lit(x) for x in lines]).cast("array<string>"))
+    rows = episodes.select("id", ask(prompt).alias("raw"))
+    result = F.from_json(fenced_json("raw"), EXTRACTED)
+    return rows.withColumn("result", result).withColumn("parse_ok", F.col("result.facts").isNotNull() | F.col("result.entities").isNotNull())

@@ -281,3 +281,27 @@ def test_repo_status(spark):
     assert {r.repo: r.status for r in builds.repo_status(df).collect()} == {k: k for k in ("partial", "empty", "stale", "ready")}
     missing = spark.createDataFrame([("go",), ("php",)], "language string")
     assert {r.language: r.repos for r in builds.indexer_impact(missing, df).collect()} == {"go": 4, "php": 0}
+
+
+def test_ids_roots_and_counts(spark):
+    assert S.ulid(0, bytes(10)) == "0" * 26 and S.ulid((1 << 48) - 1, b"\xff" * 10) == "7" + "Z" * 25
+    made = spark.createDataFrame([(T("2024-01-01"),), (T("2024-01-01"),)], "at timestamp").select(S.new_ulids("at").alias("u")).collect()
+    assert len({r.u for r in made}) == 2 and made[0].u[:10] == made[1].u[:10]
+    paths = spark.createDataFrame([("/a/b/c/x.go",), ("/z/y",)], "path string")
+    repos = spark.createDataFrame([("/a",), ("/a/b",)], "repo string")
+    assert {r.path: r.repo for r in builds.nearest_index(paths, repos).collect()} == {"/a/b/c/x.go": "/a/b", "/z/y": None}
+    files = spark.createDataFrame([("a.ts",), ("b.TSX",), ("node_modules/c.js",), ("d.py",), ("e.txt",)], "path string")
+    assert {r.language: r.file_count for r in builds.languages(files).collect()} == {"typescript": 2, "python": 1}
+    assert {r.table: r.rows for r in builds.counts(a=paths, b=files).collect()} == {"a": 2, "b": 5}
+
+
+def test_extraction_with_a_fake(spark):
+    eps = spark.createDataFrame([("1", "good"), ("2", "bad")], "id string, text string")
+
+    def fake(prompt):
+        return '```json\n{"summary": "s", "entities": [], "facts": [{"src": "a", "relation": "uses", "dst": "b"}]}\n```' if "good" in prompt else "sorry"
+
+    got = {r.id: r for r in memory.extracted(eps, fake).collect()}
+    assert got["1"].parse_ok and got["1"].result.facts[0].dst == "b" and not got["2"].parse_ok
+    kept = memory.remember(spark.createDataFrame([], "id string, source string, source_ref string, summary string, occurred_at timestamp"), spark.createDataFrame([("r", "ghp_" + "a" * 20, T("2024-01-01"))], "source_ref string, text string, at timestamp"))
+    assert kept.first().summary == "[REDACTED]"
