@@ -10,10 +10,11 @@ nodes on the way chose.  A node with more than ``SMALL`` documents is branched
 again; a small one is compared exhaustively: pairs whose tokens agree often enough
 are candidates.
 
-Candidates are confirmed on the full sets.  First each node gives only a spanning
-forest of its candidates, the most similar first; then, among candidates whose ends
-are still in different components, all others.  So a group of near copies costs
-links in proportion to its size.
+Candidates are confirmed on the full sets.  First an eighth of the nodes give a
+spanning forest of their candidates, the most similar first; then all nodes give a
+forest between the components so far; then, among candidates whose ends are still in
+different components, all others.  So a group of near copies costs links in
+proportion to its size, and few of them twice.
 
 Nodes that are still large ``DEEPEST`` levels down hold documents that agree nearly
 everywhere.  They are dealt into random small blocks, several times over, which joins
@@ -50,6 +51,8 @@ WIDTH, CHECKS = 64, 256
 TREES, BRANCHES = 16, 1.4
 START, DEEPEST, LAST, SMALL = 2, 4, 12, 48
 DEALINGS = 3
+#: Of the small nodes, the share 1 / FIRST is compared first: it joins most copies.
+FIRST = 8
 
 
 def agreement(percent: int) -> int:
@@ -131,11 +134,11 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _forest(pairs: list[tuple[int, int, int]], n: int) -> list[tuple[int, int]]:
-    """A spanning forest of (agreement, i, j), largest agreement first."""
-    up, out = list(range(n)), []
+def _forest(pairs: list[tuple[int, int, int]], label: list[int]) -> list[tuple[int, int]]:
+    """A spanning forest of (agreement, i, j), largest agreement first, where rows of one label are joined already."""
+    up, out = {x: x for x in label}, []
     for _, i, j in sorted(pairs, key=lambda p: -p[0]):
-        a, b = i, j
+        a, b = label[i], label[j]
         while up[a] != a:
             up[a] = a = up[up[a]]
         while up[b] != b:
@@ -146,14 +149,13 @@ def _forest(pairs: list[tuple[int, int, int]], n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _candidates(leaves: DataFrame, least: int, across: bool) -> DataFrame:
-    """block, a, b: candidates within small nodes; across: all between different labels, else a spanning forest."""
+def _candidates(leaves: DataFrame, least: int, all_pairs: bool) -> DataFrame:
+    """block, a, b: candidates between labels within small nodes: all of them, or a spanning forest of the labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "block"):
-            block, ids = t.column("block").to_numpy(), t.column("id").to_numpy()
+            block, ids, label = t.column("block").to_numpy(), t.column("id").to_numpy(), t.column("label").to_numpy()
             short = np.frombuffer(b"".join(t.column("short").to_pylist()), np.uint8).reshape(-1, CHECKS)
-            label = t.column("label").to_numpy() if across else None
             edge = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
             size = np.diff(edge)
             out_a, out_b, out_block = [], [], []
@@ -164,30 +166,43 @@ def _candidates(leaves: DataFrame, least: int, across: bool) -> DataFrame:
                 for k in range(0, len(first), step):
                     f = first[k : k + step]
                     x, y = (f[:, None] + i).ravel(), (f[:, None] + j).ravel()
-                    if across:
-                        some = np.flatnonzero(label[x] != label[y])
-                        x, y = x[some], y[some]
+                    apart = np.flatnonzero(label[x] != label[y])
+                    x, y = x[apart], y[apart]
                     same = (short[x] == short[y]).sum(1)
                     good = np.flatnonzero((same >= least) & (ids[x] != ids[y]))
-                    if n > 2 and not across and len(good):
-                        owner = np.searchsorted(f, x[good], "right") - 1
-                        keep = []
+                    if not len(good):
+                        continue
+                    gx, gy = x[good], y[good]
+                    if n > 2 and not all_pairs:
+                        owner, keep = np.searchsorted(f, gx, "right") - 1, []
                         for o in np.split(np.arange(len(good)), np.flatnonzero(np.diff(owner)) + 1):
-                            g, start = good[o], f[owner[o[0]]]
-                            keep += [(start + p, start + q) for p, q in _forest(list(zip(same[g].tolist(), (x[g] - start).tolist(), (y[g] - start).tolist())), n)]
+                            at = f[owner[o[0]]]
+                            keep += [(at + p, at + q) for p, q in _forest(list(zip(same[good[o]].tolist(), (gx[o] - at).tolist(), (gy[o] - at).tolist())), label[at : at + n].tolist())]
                         gx, gy = np.array(keep).T
-                    else:
-                        gx, gy = x[good], y[good]
                     out_a.append(np.minimum(ids[gx], ids[gy]))
                     out_b.append(np.maximum(ids[gx], ids[gy]))
                     out_block.append(block[gx])
             if out_a:
                 yield _batch(block=(np.concatenate(out_block), pa.int64()), a=(np.concatenate(out_a), pa.int64()), b=(np.concatenate(out_b), pa.int64()))
 
-    dealt = leaves.repartition("block").sortWithinPartitions("block", "id")
+    dealt = leaves.select("block", "id", "label", "short").repartition("block").sortWithinPartitions("block", "id")
     return dealt.mapInArrow(run, "block long, a long, b long").groupBy("a", "b").agg(F.min("block").alias("block"))
 
 
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (id, label) after further links: only the labels that the links join are worked on."""
+    if labels is None:
+        return components(links)
+    if links.limit(1).count() == 0:
+        return labels
+    ends = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+    known = written(labels.join(ends, "id", "full").select("id", F.coalesce("label", "id").alias("label")), "labels")
+    a, b = known.select(F.col("id").alias("a"), F.col("label").alias("la")), known.select(F.col("id").alias("b"), F.col("label").alias("lb"))
+    pairs = links.join(a, "a").join(b, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    joined = components(pairs).select(F.col("id").alias("label"), F.col("label").alias("to"))
+    return written(known.join(joined, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links a, b: a forest of those pairs that hold on the full sets; every pair is settled by a check or by links around it.
 
@@ -279,19 +294,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     sketch, short, least = tokens.select("id", "sketch"), tokens.select("id", "short"), agreement(percent)
     found, dense = small_nodes(sketch, sketch, START, DEEPEST)
     leaves = written(found.union(_dealt(dense)).join(short, "id"), "leaves")
-    links = confirmed(_candidates(leaves, least, across=False), docs, width, percent)
-    labels = components(links)
-    more = confirmed(_candidates(_labelled(leaves, labels), least, across=True), docs, width, percent)
-    if more.limit(1).count():
-        links = links.union(more)
-        labels = components(links)
+
+    def linked(rows: DataFrame, labels: DataFrame | None, all_pairs: bool) -> DataFrame:
+        told = _labelled(rows, labels) if labels is not None else rows.withColumn("label", F.col("id"))
+        return _merged(labels, confirmed(_candidates(told, least, all_pairs), docs, width, percent))
+
+    labels = linked(leaves.where(F.pmod(F.xxhash64("block"), F.lit(FIRST)) == 0), None, False)
+    labels = linked(leaves, labels, False)
+    labels = linked(leaves, labels, True)
     rest = _unsettled(dense, labels)
     if rest.limit(1).count():
         found, dense = small_nodes(rest.join(sketch, "id"), sketch, DEEPEST + 1, LAST)
-        deep = written(_labelled(found.union(_dealt(dense)).join(short, "id"), labels), "deep")
-        more = confirmed(_candidates(deep, least, across=True), docs, width, percent)
-        if more.limit(1).count():
-            labels = components(links.union(more))
+        deep = written(found.union(_dealt(dense)).join(short, "id"), "deep")
+        labels = linked(deep, linked(deep, labels, False), True)
     of_class = classes.select("key", F.col("id").alias("first")).join(labels.select(F.col("id").alias("first"), "label"), "first", "left").select("key", F.coalesce("label", "first").alias("component"))
     out = rows.select("doc_id", "n_shingles", "key").join(of_class, "key", "left")
     component = F.coalesce("component", "doc_id")
