@@ -180,7 +180,7 @@ def test_supersedes_and_exclusive(spark):
 
 
 def test_as_of(spark):
-    rows = [("loom", "status", "building", T("2024-01-01"), T("2024-01-02")), ("loom", "status", "shipped", T("2024-01-02"), None)]
+    rows = [("proj", "status", "building", T("2024-01-01"), T("2024-01-02")), ("proj", "status", "shipped", T("2024-01-02"), None)]
     f = spark.createDataFrame(rows, "src string, relation string, dst string, valid_from timestamp, invalid_at timestamp")
     at = lambda s: [r.dst for r in f.where(P.valid_at(F.lit(s).cast("timestamp") if s else None)).collect()]
     assert (at("2024-01-01 00:30:00"), at(""), at("2024-01-02")) == (["building"], ["shipped"], ["shipped"])
