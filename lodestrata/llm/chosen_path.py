@@ -24,8 +24,8 @@ what is large even there is dealt into blocks again.  No step makes more rows th
 fixed number for each document, whatever the sizes of the groups.
 
 Two documents at similarity 0.85 share a small node of a tree with probability over
-0.45 (0.35 if they need all LAST levels), so 16 trees lose one such pair in 10,000
-(in 1,000), and fewer above that similarity.
+0.43 (0.33 if they need all LAST levels), so 16 trees lose one such pair in 8,000 (in
+600), and fewer above that similarity.
 
 Null or wordless texts have an empty set and stand alone; so does a null doc_id.
 Rows that share a doc_id share a component; if their texts differ, the set with the
