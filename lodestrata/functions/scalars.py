@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -233,10 +235,6 @@ def ulid(ms: int, random: bytes) -> str:
 
 def new_ulids(at: Column | str) -> Column:
     """An id for each row from its time; as random as the system is."""
-    import os
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def make(micros: pd.Series) -> pd.Series:
         return pd.Series([ulid(int(m) // 1000, os.urandom(10)) for m in micros])
