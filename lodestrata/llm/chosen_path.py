@@ -18,14 +18,15 @@ proportion to its size, and few of them twice.
 
 Nodes that are still large ``DEEPEST`` levels down hold documents that agree nearly
 everywhere.  They are dealt into random small blocks, several times over, which joins
-a group of near copies into one component.  Those that are not one component by then
-are branched on, down to ``LAST`` levels, with candidates between components only;
-what is large even there is dealt into blocks again.  No step makes more rows than a
-fixed number for each document, whatever the sizes of the groups.
+a group of near copies into one component.  The documents of those that are not one
+component by then are joined exactly (``meetings``), whatever their number: two sets
+of known sizes that reach the similarity share one of their few rarest shingles, so
+only documents that share one in that place meet.  A shingle that many documents have
+in that place costs rows with the square of their number; all other steps make a fixed
+number of rows for each document at most.
 
 Two documents at similarity 0.85 share a small node of a tree with probability over
-0.43 (0.33 if they need all LAST levels), so 16 trees lose one such pair in 8,000 (in
-600), and fewer above that similarity.
+0.43, so 16 trees lose one such pair in 8,000, and fewer above that similarity.
 
 Null or wordless texts have an empty set and stand alone; so does a null doc_id.
 Rows that share a doc_id share a component; if their texts differ, the set with the
@@ -49,8 +50,10 @@ from lodestrata.llm.shingles import U, alike, mixed, shingle_sets, sketches
 #: Tokens that trees branch by, and minwise values that candidates are told by.
 WIDTH, CHECKS = 64, 256
 TREES, BRANCHES = 16, 1.4
-START, DEEPEST, LAST, SMALL = 2, 4, 12, 48
+START, DEEPEST, SMALL = 2, 4, 48
 DEALINGS = 3
+#: Shingles are counted in so many buckets; sizes of sets that differ by less than STEP are one class.
+COUNTED, STEP = 1 << 20, 1.02
 #: Of the small nodes, the share 1 / FIRST is compared first: it joins most copies.
 FIRST = 8
 
@@ -216,8 +219,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
         for ids, texts in rows_of(batches, "id", "text"):
             yield _batch(id=(ids, pa.int64()), set=([s.tobytes() for s in shingle_sets(texts, width)], pa.binary()))
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    known = wanted.mapInArrow(sets, "id long, set binary")
+    known = _texts(docs, members.select("id").distinct()).mapInArrow(sets, "id long, set binary")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "block"):
@@ -249,20 +251,17 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return written(members.join(known, "id").repartition("block").sortWithinPartitions("block", "id").mapInArrow(check, "a long, b long"), "links")
 
 
-def small_nodes(level: DataFrame, tokens: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame]:
-    """block, id of the small nodes below level (two documents at least), and node, id, n of nodes that are large at the last level.
-
-    level: id, sketch, and node unless it is the roots of all trees (first = START).
-    """
-    found = None
-    for depth in range(first, last + 1):
+def small_nodes(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """block, id of the small nodes (two documents at least), and node, id, n of nodes that are large DEEPEST levels down."""
+    found, level = None, tokens
+    for depth in range(START, DEEPEST + 1):
         rows = written(_branched(level, START if depth == START else 1, depth == START), "nodes")
         sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         sized = written(rows.join(sizes, "node"), "sized")
         here = sized.where(F.col("n") <= SMALL).select(F.col("node").alias("block"), "id")
         found = here if found is None else found.union(here)
         large = sized.where(F.col("n") > SMALL)
-        if depth == last or large.limit(1).count() == 0:
+        if depth == DEEPEST or large.limit(1).count() == 0:
             break
         level = large.select("node", "id").join(tokens, "id")
     return found, large
@@ -284,6 +283,91 @@ def _unsettled(dense: DataFrame, labels: DataFrame) -> DataFrame:
     return written(dense.select("node", "id").join(several, "node"), "unsettled")
 
 
+def _classes() -> np.ndarray:
+    """The smallest size of each class of set sizes."""
+    out = [1]
+    while out[-1] < 1 << 31:
+        out.append(max(out[-1] + 1, int(out[-1] * STEP)))
+    return np.array(out)
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of those documents."""
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+
+
+def meetings(docs: DataFrame, ids: DataFrame, width: int, percent: int) -> DataFrame:
+    """key, side, id: any two of the documents ids that reach percent have a key in common, on side 0 both or on sides 1 and 2.
+
+    Sets of x and y shingles at the similarity share at least c = percent (x + y) /
+    (100 + percent), so in an order common to all sets, here the rarest first, the first
+    x - c + 1 of the one and the first y - c + 1 of the other have one in common.  A
+    document has keys for each class of sizes that it can be similar to.
+    """
+    texts, lows = written(_texts(docs, ids), "texts"), _classes()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTED, np.int64)
+        for (some,) in rows_of(batches, "text"):
+            for s in shingle_sets(some, width):
+                np.add.at(n, (s % U(COUNTED)).astype(np.int64), 1)
+        at = np.flatnonzero(n)
+        yield _batch(bucket=(at, pa.int64()), n=(n[at], pa.int64()))
+
+    several = texts.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    often = np.ones(COUNTED, np.int64)
+    often[several.column("bucket").to_numpy()] = several.column("n").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sides, owners, held = [], [], [], 0
+        for ids, some in rows_of(batches, "id", "text"):
+            for i, s in zip(ids, shingle_sets(some, width)):
+                n = len(s)
+                if not n:
+                    continue
+                times = often[(s % U(COUNTED)).astype(np.int64)]
+                order = np.lexsort((s, times))
+                s, times = s[order], times[order]
+                least, most = -(-percent * n // 100), 100 * n // percent
+                own, first, last = (int(k) for k in np.searchsorted(lows, (n, least, most), "right") - 1)
+                for other in range(first, last + 1):
+                    common = -(-percent * (n + max(least, int(lows[other]))) // (100 + percent))
+                    head = s[: n - common + 1]
+                    head = head[times[: len(head)] > 1]  # what one set alone has joins nothing
+                    if len(head):
+                        pair = U(min(own, other) * len(lows) + max(own, other) + 1)
+                        keys.append(mixed(head + mixed(np.array([pair], U))))
+                        sides.append(np.full(len(head), (other < own) + 1 if other != own else 0))
+                        owners.append(np.full(len(head), i))
+                        held += len(head)
+                if held > 1 << 18:
+                    yield _batch(key=(np.concatenate(keys).view(np.int64), pa.int64()), side=(np.concatenate(sides), pa.int32()), id=(np.concatenate(owners), pa.int64()))
+                    keys, sides, owners, held = [], [], [], 0
+        if held:
+            yield _batch(key=(np.concatenate(keys).view(np.int64), pa.int64()), side=(np.concatenate(sides), pa.int32()), id=(np.concatenate(owners), pa.int64()))
+
+    return texts.mapInArrow(run, "key long, side int, id long")
+
+
+def _met(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, side, id, n0, n1, n2 (documents on each side) of keys at which documents of several components can meet."""
+    of = [F.count_if(F.col("side") == k).alias(f"n{k}") for k in range(3)]
+    sizes = _labelled(keys, labels).groupBy("key").agg(*of, F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return keys.join(sizes.where("lo <> hi and (n0 > 1 or n1 > 0 and n2 > 0)").drop("lo", "hi"), "key")
+
+
+def _blocks(met: DataFrame) -> DataFrame:
+    """block, id: blocks of about SMALL documents at most, in which all that can meet at a key do."""
+    parts = [F.when(F.col("n0") + F.col("n1") + F.col("n2") <= SMALL, F.lit(1).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), F.ceil(F.col(f"n{k}") * 2 / SMALL))) for k in range(3)]
+    side, part, other = F.col("side"), F.col("part"), F.col("other")
+    mine = F.when(side == 0, parts[0]).when(side == 1, parts[1]).otherwise(parts[2])
+    theirs = F.when(side == 0, parts[0]).when(side == 1, parts[2]).otherwise(parts[1])
+    rows = met.select("key", "side", "id", F.pmod(F.xxhash64("id"), mine).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), theirs - 1)).alias("other"))
+    lo = F.when(side == 0, F.least(part, other)).when(side == 1, part).otherwise(other)
+    hi = F.when(side == 0, F.greatest(part, other)).when(side == 1, other).otherwise(part)
+    return rows.select(F.xxhash64("key", lo, hi).alias("block"), "id")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
     short_batches(docs.sparkSession)
@@ -292,7 +376,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     classes = written(full.groupBy("key").agg(F.min(F.struct("doc_id", "sketch", "short")).alias("m")).select(F.col("m.doc_id").alias("id"), "m.sketch", "m.short", "key"), "classes")
     tokens = classes.groupBy("id").agg(F.min(F.struct("sketch", "short")).alias("m")).select("id", "m.sketch", "m.short")
     sketch, short, least = tokens.select("id", "sketch"), tokens.select("id", "short"), agreement(percent)
-    found, dense = small_nodes(sketch, sketch, START, DEEPEST)
+    found, dense = small_nodes(sketch)
     leaves = written(found.union(_dealt(dense)).join(short, "id"), "leaves")
 
     def linked(rows: DataFrame, labels: DataFrame | None, all_pairs: bool) -> DataFrame:
@@ -304,9 +388,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     labels = linked(leaves, labels, True)
     rest = _unsettled(dense, labels)
     if rest.limit(1).count():
-        found, dense = small_nodes(rest.join(sketch, "id"), sketch, DEEPEST + 1, LAST)
-        deep = written(found.union(_dealt(dense)).join(short, "id"), "deep")
-        labels = linked(deep, linked(deep, labels, False), True)
+        keys = written(meetings(docs, rest.select("id").distinct(), width, percent), "keys")
+        few = F.col("n0") + F.col("n1") + F.col("n2") <= SMALL
+        for size in (few, ~few):  # what the small ones join need not meet at the large ones
+            met = written(_blocks(_met(keys, labels).where(size)).distinct().join(short, "id"), "met")
+            labels = linked(met, linked(met, labels, False), True)
     of_class = classes.select("key", F.col("id").alias("first")).join(labels.select(F.col("id").alias("first"), "label"), "first", "left").select("key", F.coalesce("label", "first").alias("component"))
     out = rows.select("doc_id", "n_shingles", "key").join(of_class, "key", "left")
     component = F.coalesce("component", "doc_id")

@@ -398,6 +398,28 @@ def test_large_nodes_are_settled(spark, monkeypatch):
     assert got == dict(enumerate(want))
 
 
+def test_pairs_in_a_group_below_the_threshold(spark, monkeypatch):
+    """3,000 documents at 0.80 to each other; some pairs are at 0.86, but the tokens that trees branch by don't tell them from the others."""
+    monkeypatch.setattr(chosen_path, "SMALL", 4)
+    r = random.Random(6)
+    words = lambda n: [f"w{r.randrange(10**12)}" for _ in range(n)]
+    core = words(160)
+    own = [words(18) for _ in range(3000)]
+    alike = [o[:8] + words(10) for o in own[::2]]
+    tokens = lambda docs: shingles.sketches(shingles.shingle_sets([" ".join(core + o) for o in docs]), chosen_path.CHECKS)[:, : chosen_path.WIDTH]
+    a, b, c = tokens(own[::2]), tokens(alike), tokens([[]])
+    pairs = np.flatnonzero(((a != b) | (a == c)).all(1))
+    assert len(pairs) > 20
+    for k in pairs:
+        own[2 * k + 1] = alike[k]
+    texts = [" ".join(core + o) for o in own]
+    sets = shingles.shingle_sets(texts)
+    assert all(shingles.alike(sets[2 * k], sets[2 * k + 1], 85) for k in pairs) and not shingles.alike(sets[0], sets[2], 82)
+    got = {x.doc_id: x.component_id for x in chosen_path.near_duplicates(table_of(spark, texts)).collect()}
+    want = {i: i for i in range(3000)} | {2 * int(k) + 1: 2 * int(k) for k in pairs}
+    assert {i: c for i, c in got.items() if want[i] != c} == {}
+
+
 def test_components(spark):
     r = random.Random(1)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(r.randrange(60), r.randrange(60)) for _ in range(40)]
