@@ -99,7 +99,7 @@ def a12_community_sizes(spark, d):
 @query("g03_communities", None)
 def g03_communities(spark, d):
     b = Bed(spark, d)
-    return graph.communities(b.nodes().where("type <> 'table'"), b.edges().where("type <> 'uses'"))
+    return graph.communities(b.nodes(), b.edges())
 
 
 @query("a16_report", sql(NODES, EDGES, ADJ, DEG, "labels AS (SELECT concat('class:', n_nationkey) AS node, n_regionkey AS community FROM nation)", body="SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count, (SELECT count(*) FROM (SELECT community FROM labels GROUP BY 1 HAVING count(*) >= 2)) AS community_count, (SELECT max(degree) FROM deg) AS top_degree, (SELECT least(20, count(*)) FROM edges WHERE split_part(src, ':', 1) <> split_part(dst, ':', 1) AND confidence >= 0.8) AS surprising_count"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lodestrata.functions import predicates as P
 from lodestrata.functions import scalars as S
 from lodestrata.operators import builds, code, git, graph, http, memory, rooms, schema
+from lodestrata.plans import registry
+from lodestrata.plans.testbed import Bed
 from lodestrata.sources import catalogs, coverage, php, scip, transcripts
 from lodestrata.sources import git as git_source
 
@@ -135,6 +137,39 @@ def test_path_is_bounded(spark):
     assert [r.node for r in graph.shortest_path(chain(2), one("n0"), one("n2"), most=None).orderBy("depth").collect()] == ["n0", "n1", "n2"]
 
 
+def test_communities_query_takes_the_whole_graph(spark, sf_dir):
+    """All nodes have a community, and the moves are those of a search in Python over all edges."""
+    b = Bed(spark, sf_dir)
+    nodes, edges = {f"{r.type}:{r.id}" for r in b.nodes().collect()}, b.edges().collect()
+    w = {n: {} for n in nodes}
+    for e in edges:
+        if e.src != e.dst and e.src in nodes and e.dst in nodes:
+            for x, y in ((e.src, e.dst), (e.dst, e.src)):
+                w[x][y] = w[x].get(y, 0.0) + e.confidence
+    k, at, idle = {n: sum(o.values()) for n, o in w.items()}, {n: n for n in nodes}, 0
+    twice = sum(k.values())
+    for p in range(20):
+        total = {}
+        for n, c in at.items():
+            total[c] = total.get(c, 0.0) + k[n]
+        to = {}
+        for n in nodes:
+            near = {}
+            for o, x in w[n].items():
+                near[at[o]] = near.get(at[o], 0.0) + x
+            own = at[n]
+            gains = [(-round(g, 9), c) for c, x in near.items() if (c < own if p % 2 == 0 else c > own) and (g := x - near.get(own, 0.0) - k[n] * (total[c] - total[own] + k[n]) / twice) > 1e-9]
+            if gains:
+                to[n] = min(gains)[1]
+        at |= to
+        idle = 0 if to else idle + 1
+        if idle == 2:
+            break
+    got = {r.node: r.community for r in registry.QUERIES["g03_communities"](spark, sf_dir).collect()}
+    assert set(got) == nodes and any(n.startswith("table:") for n in got)
+    assert got == at
+
+
 def test_communities_of_two_cliques(spark):
     names = ["a1", "a2", "a3", "a4", "b1", "b2", "b3", "b4"]
     nodes = spark.createDataFrame([("file", n) for n in names], "type string, id string")
