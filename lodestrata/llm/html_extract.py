@@ -38,6 +38,10 @@ PARAGRAPH = frozenset("p pre blockquote td li dd".split())
 CONTAINER = frozenset("article main section div body td blockquote html".split())
 OWN_KIND = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 
+HEAD = frozenset("base basefont bgsound head html link meta title noscript noframes style script template".split())
+#: An inline end tag inside these does not end what is around them, nor does a list item inside these one around them.
+APART = (BLOCK | DROPPED) - {"label", "canvas", "audio", "video", "map", "object", "embed"}
+
 # Words in class, id and role that mark what is not the article.
 BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets comment comments commentlist disqus reply replies respond pagination pager tags rating print search copyright legal disclaimer contentinfo complementary skip".split()
@@ -50,11 +54,12 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("name", "parent", "kids", "points", "marks", "good", "chars", "link_chars")
+    __slots__ = ("name", "parent", "kids", "points", "marks", "good", "chars", "link_chars", "lost")
 
     def __init__(self, name: str, parent: Node | None, marks: frozenset[str] = frozenset()):
         self.name, self.parent, self.kids, self.points, self.marks = name, parent, [], 0.0, marks
         self.good, self.chars, self.link_chars = bool(marks & GOOD_WORDS), 0, 0
+        self.lost = parent is not None and parent.lost
 
 
 def _marks(tag: str) -> frozenset[str]:
@@ -67,19 +72,22 @@ def _marks(tag: str) -> frozenset[str]:
 
 
 def parse(html: str, by_marks: bool = True) -> Node:
-    """The tree of a page without the subtrees that can't hold article text; by_marks: nor those whose class, id or role says so."""
+    """The tree of a page without the subtrees that can't hold article text; by_marks: nor those whose class, id or role says so.
+
+    A dropped element is opened and ended as any other, but hangs on no parent's list.
+    """
     root = node = Node("html", None)
-    depth_dropped, raw = [], ""
+    raw = ""
     for m in TOKEN.finditer(html):
         t = m.group()
         if raw:  # up to its end tag, all is text
             if t[:2] == "</" and (n := NAME.match(t)) and n[1].lower() == raw:
-                raw = ""
-                if depth_dropped:
-                    depth_dropped.pop()
+                raw, node = "", node.parent
             continue
         if t[0] != "<" or t == "<":
-            if not depth_dropped:
+            if node.name == "head" and t.strip():
+                node = node.parent
+            if not node.lost:
                 node.kids.append(t)
             continue
         if t[1] in "!?":
@@ -88,59 +96,69 @@ def parse(html: str, by_marks: bool = True) -> Node:
             continue
         name = n[1].lower()
         if t[1] == "/":
-            if depth_dropped:
-                if name in depth_dropped:
-                    while depth_dropped.pop() != name:
-                        pass
-                continue
-            at = node
-            while at.parent is not None and at.name != name:
-                at = at.parent
-            if at.parent is not None:
+            at = _open(node, name)
+            if at is not None:
                 node = at.parent
             continue
         if t[-1] != ">":  # the page ends inside this tag
             continue
+        if name == "body" or node.name == "head" and name not in HEAD:  # ends an open head
+            at = node
+            while at.parent is not None and at.name not in ("head", "template"):
+                at = at.parent
+            if at.name == "head":
+                node = at.parent
         if name in VOID:
-            if not depth_dropped:
+            if not node.lost:
                 node.kids.append(" ") if name in ("br", "wbr") else name == "hr" and node.kids.append(Node("hr", node))
             continue
-        if depth_dropped:
-            if name in RAW:
-                raw = name
-                depth_dropped.append(name)
-            elif name == depth_dropped[-1] or name in DROPPED:
-                depth_dropped.append(name)
-            continue
         if name == "body" or name == "html":
             continue
         if name in CLOSES_P:
             at = node
-            while at.parent is not None and at.name != "p" and at.name not in ("table", "td", "th", "button", "object"):
+            while at.parent is not None and at.name != "p" and at.name not in ("table", "td", "th", "button", "object", "template"):
                 at = at.parent
             if at.name == "p":
                 node = at.parent
         if name in OWN_KIND:
             kind, within = OWN_KIND[name]
             at = node
-            while at.parent is not None and at.name not in kind.split() and at.name not in within.split():
+            while at.parent is not None and at.name not in within.split():
+                if at.name in kind.split():  # of a cell and its row, a row ends both
+                    node = at.parent
+                elif at.lost and _stops(at, name):
+                    break
                 at = at.parent
-            if at.parent is not None and at.name in kind.split():
-                node = at.parent
-        marks = _marks(t) if "=" in t else frozenset()
-        inside = _inside(node)
-        bad = name in DROPPED or (name == "header" and not inside) or HIDDEN.search(t) or (by_marks and marks & BAD_WORDS and name not in ("article", "main", "p", "h1") and not marks & {"article", "articlebody"})
-        if bad:
-            if not (t.endswith("/>") and name in ("svg",)):
-                depth_dropped.append(name)
-                raw = name if name in RAW else ""
-            continue
+        marks = _marks(t) if "=" in t and not node.lost else frozenset()
         kid = Node(name, node, marks)
-        node.kids.append(kid)
+        bad = kid.lost or name in DROPPED or (name == "header" and not _inside(node)) or HIDDEN.search(t) or (by_marks and marks & BAD_WORDS and name not in ("article", "main", "p", "h1") and not marks & {"article", "articlebody"})
+        if bad:
+            if t.endswith("/>") and name == "svg":
+                continue
+            kid.lost = True
+            raw = name if name in RAW else ""
+        else:
+            node.kids.append(kid)
         node = kid
     return root
 
 
+def _stops(at: Node, name: str) -> bool:
+    """Whether an item, row or cell of that name inside the dropped element at leaves open what is around it."""
+    return at.name == "template" or name in ("li", "dt", "dd", "option") and at.name in APART and at.name not in ("address", "div", "p")
+
+
+def _open(node: Node, name: str) -> Node | None:
+    """The open element that an end tag ends, if there is one."""
+    within = OWN_KIND[name][1].split() if name in OWN_KIND else ()
+    at = node
+    while at.parent is not None and at.name != name:
+        if at.lost and (at.name in ("template", "object", "svg", "math", "select") or at.name in within or (name not in APART and at.name in APART)):
+            return None
+        at = at.parent
+    return at if at.parent is not None else None
+
+
 def _inside(node: Node | None) -> bool:
     while node is not None:
         if node.name in ("article", "main"):

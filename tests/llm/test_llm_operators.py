@@ -33,6 +33,29 @@ def corpus(n, seed=0, letters="etaoinshrdlu"):
 # 1: main text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<html><head><title>t</title><meta name=a><body><p>No end of the head, here.", "No end of the head, here."),
+        ("<head><title>t</title><style>p {}</style><p>An element, not of a head.</p>", "An element, not of a head."),
+        ("<head><title>t</title>Bare text, first.<p>Then a paragraph.", "Bare text, first.\nThen a paragraph."),
+        ("<head><noscript><link href=x><body><p>Body after noscript.</p>", "Body after noscript."),
+        ("<head><script>var a = '<body>'</script><title>t</title></head><body><p>As ever, it goes.</p>", "As ever, it goes."),
+        ("<article><ul><li>One, first.<li class=ad>buy<li>Two, second.</ul><p>After, the list.</p></article>", "One, first.\nTwo, second.\nAfter, the list."),
+        ("<article><ul><li>One, first.<li class=ad>buy</ul><p>After, the list.</p></article>", "One, first.\nAfter, the list."),
+        ("<article><table><tr><td>One, cell.<td class=share>share<tr><td>Two, cell.</table><p>After, the table.</p></article>", "One, cell.\nTwo, cell.\nAfter, the table."),
+        ("<article><table><tr class=ad><td>x<tr><td>Two, cell.</table><p>After.</p></article>", "Two, cell.\nAfter."),
+        ("<article><dl><dt class=ad>a<dd>One, kept.<dd class=ad>b<dt>Two, kept.</dl><p>After.</p></article>", "One, kept.\nTwo, kept.\nAfter."),
+        ("<article><p hidden>no<p>Shown, this one.</article>", "Shown, this one."),
+        ("<article><div><nav><a>menu</a></div><p>After the unclosed nav.</p></article>", "After the unclosed nav."),
+        ("<article><ul><li>Kept, a.<nav><li>menu<li>menu</nav> and b.</ul></article>", "Kept, a. and b."),
+        ("<article><span>x <nav>a</span> b</nav> y, z.</span></article>", "x y, z."),
+    ],
+)
+def test_main_text_after_unclosed_dropped_elements(html, text):
+    assert html_extract.main_text(html) == text
+
+
 @pytest.mark.parametrize(
     "html, text",
     [
