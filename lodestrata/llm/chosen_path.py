@@ -2,7 +2,7 @@
 
 Every document is its set of word shingles.  Documents with equal sets are one
 class and take part once.  A class has ``WIDTH`` minwise tokens.  In each of
-``TREES`` independent trees a document starts at the root; a node chooses, by its
+``trees(percent)`` trees a document starts at the root; a node chooses, by its
 own random numbers, a few of the token positions (``BRANCHES`` on average), and the
 document goes to the child for each chosen position and the token it has there.  So
 two documents share a node after d levels if they agreed on the d tokens that the
@@ -25,8 +25,10 @@ only documents that share one in that place meet.  A shingle that many documents
 in that place costs rows with the square of their number; all other steps make a fixed
 number of rows for each document at most.
 
-Two documents at similarity 0.85 share a small node of a tree with probability over
-0.43, so 16 trees lose one such pair in 8,000, and fewer above that similarity.
+The number of trees follows from the similarity: a pair exactly at it has no node in
+common with a probability of ``LOST`` at most (17 trees at 0.85, 20 at 0.80), and more
+similar pairs far less often.  All trees choose from the same tokens, so this is a
+mean over the number of tokens on which the pair agrees, and over trees (``missed``).
 
 Null or wordless texts have an empty set and stand alone; so does a null doc_id.
 Rows that share a doc_id share a component; if their texts differ, the set with the
@@ -37,6 +39,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +52,7 @@ from lodestrata.llm.shingles import U, alike, mixed, shingle_sets, sketches
 
 #: Tokens that trees branch by, and minwise values that candidates are told by.
 WIDTH, CHECKS = 64, 256
-TREES, BRANCHES = 16, 1.4
+BRANCHES, LOST = 1.4, 1 / 8000
 START, DEEPEST, SMALL = 2, 4, 48
 DEALINGS = 3
 #: Shingles are counted in so many buckets; sizes of sets that differ by less than STEP are one class.
@@ -64,6 +67,25 @@ def agreement(percent: int) -> int:
     return int(CHECKS * p - 4.3 * (CHECKS * p * (1 - p)) ** 0.5)
 
 
+def missed(percent: int, n: int) -> float:
+    """The share of pairs exactly at this similarity that have no node in common DEEPEST levels down n trees."""
+    p, out = percent / 100, 0.0
+    for k in range(WIDTH + 1):  # tokens on which they agree
+        found = 1.0
+        for _ in range(DEEPEST):
+            found = 1 - (1 - BRANCHES / WIDTH * found) ** k
+        out += comb(WIDTH, k) * p**k * (1 - p) ** (WIDTH - k) * (1 - found) ** n
+    return out
+
+
+def trees(percent: int) -> int:
+    """As few trees as miss LOST of the pairs at this similarity at most; beyond 1,000 the tokens can't tell such pairs."""
+    for n in range(1, 1001):
+        if missed(percent, n) <= LOST:
+            return n
+    raise ValueError(f"no number of trees finds pairs at {percent} %")
+
+
 def _batch(**columns: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
 
@@ -97,16 +119,16 @@ def children(nodes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (np.concatenate(rows), np.concatenate(kids)) if rows else (np.zeros(0, np.int64), np.zeros(0, U))
 
 
-def _branched(rows: DataFrame, levels: int, rooted: bool) -> DataFrame:
-    """node, id: where the documents of rows (id, sketch; node unless rooted) are levels further down."""
+def _branched(rows: DataFrame, levels: int, roots: int) -> DataFrame:
+    """node, id: where the documents of rows (id, sketch; node unless they start at that many roots) are levels further down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = np.asarray(b.column(b.schema.get_field_index("id")))
             tokens = np.frombuffer(b"".join(b.column(b.schema.get_field_index("sketch")).to_pylist()), np.uint32).reshape(-1, WIDTH)
-            if rooted:
-                of = np.tile(np.arange(len(ids)), TREES)
-                nodes = np.repeat(mixed(np.arange(1, TREES + 1, dtype=U)), len(ids))
+            if roots:
+                of = np.tile(np.arange(len(ids)), roots)
+                nodes = np.repeat(mixed(np.arange(1, roots + 1, dtype=U)), len(ids))
             else:
                 of, nodes = np.arange(len(ids)), np.asarray(b.column(b.schema.get_field_index("node"))).view(U)
             for _ in range(levels):
@@ -114,7 +136,7 @@ def _branched(rows: DataFrame, levels: int, rooted: bool) -> DataFrame:
                 of = of[r]
             yield _batch(node=(nodes.view(np.int64), pa.int64()), id=(ids[of], pa.int64()))
 
-    names = ["id", "sketch"] if rooted else ["id", "sketch", "node"]
+    names = ["id", "sketch"] if roots else ["id", "sketch", "node"]
     return rows.select(*names).mapInArrow(run, "node long, id long")
 
 
@@ -251,11 +273,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return written(members.join(known, "id").repartition("block").sortWithinPartitions("block", "id").mapInArrow(check, "a long, b long"), "links")
 
 
-def small_nodes(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+def small_nodes(tokens: DataFrame, roots: int) -> tuple[DataFrame, DataFrame]:
     """block, id of the small nodes (two documents at least), and node, id, n of nodes that are large DEEPEST levels down."""
     found, level = None, tokens
     for depth in range(START, DEEPEST + 1):
-        rows = written(_branched(level, START if depth == START else 1, depth == START), "nodes")
+        rows = written(_branched(level, START if depth == START else 1, roots if depth == START else 0), "nodes")
         sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         sized = written(rows.join(sizes, "node"), "sized")
         here = sized.where(F.col("n") <= SMALL).select(F.col("node").alias("block"), "id")
@@ -376,7 +398,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     classes = written(full.groupBy("key").agg(F.min(F.struct("doc_id", "sketch", "short")).alias("m")).select(F.col("m.doc_id").alias("id"), "m.sketch", "m.short", "key"), "classes")
     tokens = classes.groupBy("id").agg(F.min(F.struct("sketch", "short")).alias("m")).select("id", "m.sketch", "m.short")
     sketch, short, least = tokens.select("id", "sketch"), tokens.select("id", "short"), agreement(percent)
-    found, dense = small_nodes(sketch)
+    found, dense = small_nodes(sketch, trees(percent))
     leaves = written(found.union(_dealt(dense)).join(short, "id"), "leaves")
 
     def linked(rows: DataFrame, labels: DataFrame | None, all_pairs: bool) -> DataFrame:

@@ -443,6 +443,30 @@ def test_pairs_in_a_group_below_the_threshold(spark, monkeypatch):
     assert {i: c for i, c in got.items() if want[i] != c} == {}
 
 
+@pytest.mark.parametrize("percent", [70, 80, 85, 95])
+def test_number_of_trees_follows_the_similarity(percent):
+    """Of pairs simulated at the similarity, the trees miss as many as missed() says; what it says for trees() is within LOST."""
+    n = chosen_path.trees(percent)
+    assert chosen_path.missed(percent, n) <= chosen_path.LOST < chosen_path.missed(percent, n - 1)
+    r, pairs = np.random.default_rng(3), 4000
+    a = r.integers(0, 1 << 32, (pairs, chosen_path.WIDTH), dtype=np.uint32)
+    b = np.where(r.random(a.shape) < percent / 100, a, r.integers(0, 1 << 32, a.shape, dtype=np.uint32))
+
+    def lost(n, roots):
+        ends = []
+        for tokens in (a, b):
+            k, at = np.tile(np.arange(pairs), n), shingles.mixed(roots)
+            for _ in range(chosen_path.DEEPEST):
+                rows, at = chosen_path.children(at, tokens[k])
+                k = k[rows]
+            ends.append(set(zip(k.tolist(), at.tolist())))
+        return 1 - len({k for k, _ in ends[0] & ends[1]}) / pairs
+
+    own = np.arange(1, 3 * pairs + 1, dtype=np.uint64)  # other trees for each pair: missed() is a mean over trees
+    assert abs(lost(3, own) - chosen_path.missed(percent, 3)) < 0.04
+    assert lost(n, np.repeat(np.arange(1, n + 1, dtype=np.uint64), pairs)) <= 0.002  # those that are used
+
+
 def test_components(spark):
     r = random.Random(1)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(r.randrange(60), r.randrange(60)) for _ in range(40)]
