@@ -6,24 +6,26 @@ class and take part once.  A class has ``WIDTH`` minwise tokens.  In each of
 own random numbers, a few of the token positions (``BRANCHES`` on average), and the
 document goes to the child for each chosen position and the token it has there.  So
 two documents share a node after d levels if they agreed on the d tokens that the
-nodes on the way chose.  A node with more than ``SMALL`` documents is branched
-again; a small one is compared exhaustively: pairs whose tokens agree often enough
-are candidates.
-
-Candidates are confirmed on the full sets.  First an eighth of the nodes give a
-spanning forest of their candidates, the most similar first; then all nodes give a
-forest between the components so far; then, among candidates whose ends are still in
-different components, all others.  So a group of near copies costs links in
-proportion to its size, and few of them twice.
-
-Nodes that are still large ``DEEPEST`` levels down hold documents that agree nearly
-everywhere.  They are dealt into random small blocks, several times over, which joins
-a group of near copies into one component.  The documents of those that are not one
-component by then are joined exactly (``meetings``), whatever their number: two sets
-of known sizes that reach the similarity share one of their few rarest shingles, so
-only documents that share one in that place meet.  A shingle that many documents have
-in that place costs rows with the square of their number; all other steps make a fixed
-number of rows for each document at most.
+nodes on the way chose.  Nodes are looked at ``START`` levels down.
+
+First every node of a random share (1 / ``FIRST``) of them is dealt into blocks of at
+most ``SMALL`` documents, a large one with its smallest member in each.  In a block
+pairs whose tokens agree often enough are candidates; a spanning forest of them, the
+most similar first, is confirmed on the full sets.  That joins nearly every group of
+near copies at a cost in proportion to its size.  From then on only nodes that hold
+several components count: all of them are dealt like that once more, for forests
+between the components.  Then all candidates whose ends are still in different
+components are confirmed: those of nodes of up to ``SMALL`` documents, and of larger
+ones that are one component but for a few documents, which meet all others.  The other
+large nodes are branched again.
+
+Nodes that are still large and not one component ``DEEPEST`` levels down hold
+documents that agree nearly everywhere.  Their documents are joined exactly
+(``meetings``), whatever their number: two sets of known sizes that reach the
+similarity share one of their few rarest shingles, so only documents that share one in
+that place meet.  A shingle that many documents have in that place costs rows with the
+square of their number; all other steps make a fixed number of rows for each document
+at most.
 
 The number of trees follows from the similarity: a pair exactly at it has no node in
 common with a probability of ``LOST`` at most (17 trees at 0.85, 20 at 0.80), and more
@@ -31,8 +33,8 @@ similar pairs far less often.  All trees choose from the same tokens, so this is
 mean over the number of tokens on which the pair agrees, and over trees (``missed``).
 
 Null or wordless texts have an empty set and stand alone; so does a null doc_id.
-Rows that share a doc_id share a component; if their texts differ, the set with the
-smallest sketch stands for them in the search.
+Rows that share a doc_id are one document: all their sets take part in the search, and
+what any of them is linked with is linked with all of them.
 """
 
 from __future__ import annotations
@@ -46,19 +48,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import rows_of, short_batches, written
+from lodestrata.llm.common import Scratch, rows_of, short_batches
 from lodestrata.llm.components import components
 from lodestrata.llm.shingles import U, alike, mixed, shingle_sets, sketches
 
 #: Tokens that trees branch by, and minwise values that candidates are told by.
-WIDTH, CHECKS = 64, 256
+WIDTH, CHECKS = 64, 128
 BRANCHES, LOST = 1.4, 1 / 8000
 START, DEEPEST, SMALL = 2, 4, 48
-DEALINGS = 3
 #: Shingles are counted in so many buckets; sizes of sets that differ by less than STEP are one class.
 COUNTED, STEP = 1 << 20, 1.02
-#: Of the small nodes, the share 1 / FIRST is compared first: it joins most copies.
+#: Of the nodes, the share 1 / FIRST is compared first: it joins most copies.
 FIRST = 8
+#: Documents named in a broadcast (about 60 bytes each); beyond that the join shuffles.
+MOST_BROADCAST = 500_000
 
 
 def agreement(percent: int) -> int:
@@ -91,19 +94,28 @@ def _batch(**columns: tuple) -> pa.RecordBatch:
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, key (of the set), sketch and its lowest bytes of every row."""
+    """doc_id, th (a hash of the text), n_shingles, key (of the set), sketch and its lowest bytes of every row."""
+    schema = "doc_id long, th long, n_shingles long, key binary, sketch binary, short binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in rows_of(batches, "doc_id", "text"):
+        for ids, hashes, texts in rows_of(batches, "doc_id", "th", "text"):
             sets = shingle_sets(texts, width)
             full = [k for k, s in enumerate(sets) if len(s)]
+            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             sketch: list[bytes | None] = [None] * len(sets)
             short: list[bytes | None] = [None] * len(sets)
             for k, row in zip(full, sketches([sets[k] for k in full], CHECKS)):
                 sketch[k], short[k] = row[:WIDTH].tobytes(), row.astype(np.uint8).tobytes()
-            yield _batch(doc_id=(ids, pa.int64()), n_shingles=([len(s) for s in sets], pa.int64()), key=([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), sketch=(sketch, pa.binary()), short=(short, pa.binary()))
+            yield _batch(
+                doc_id=(ids, pa.int64()),
+                th=(hashes, pa.int64()),
+                n_shingles=([len(s) for s in sets], pa.int64()),
+                key=(keys, pa.binary()),
+                sketch=(sketch, pa.binary()),
+                short=(short, pa.binary()),
+            )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, sketch binary, short binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, schema)
 
 
 def children(nodes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,95 +226,125 @@ def _candidates(leaves: DataFrame, least: int, all_pairs: bool) -> DataFrame:
     return dealt.mapInArrow(run, "block long, a long, b long").groupBy("a", "b").agg(F.min("block").alias("block"))
 
 
-def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """labels (id, label) after further links: only the labels that the links join are worked on."""
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
-        return components(links)
-    if links.limit(1).count() == 0:
-        return labels
-    ends = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
-    known = written(labels.join(ends, "id", "full").select("id", F.coalesce("label", "id").alias("label")), "labels")
-    a, b = known.select(F.col("id").alias("a"), F.col("label").alias("la")), known.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-    pairs = links.join(a, "a").join(b, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-    joined = components(pairs).select(F.col("id").alias("label"), F.col("label").alias("to"))
-    return written(known.join(joined, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links a, b: a forest of those pairs that hold on the full sets; every pair is settled by a check or by links around it.
-
-    A pair is checked in its block, where each document's set comes once.
-    """
-    pairs = written(pairs, "pairs")
-    ends = pairs.select("block", F.col("a").alias("id"), F.col("b").alias("with")).union(pairs.select("block", F.col("b"), F.lit(None).cast("long")))
-    members = ends.groupBy("block", "id").agg(F.collect_list("with").alias("with"))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in rows_of(batches, "id", "text"):
-            yield _batch(id=(ids, pa.int64()), set=([s.tobytes() for s in shingle_sets(texts, width)], pa.binary()))
-
-    known = _texts(docs, members.select("id").distinct()).mapInArrow(sets, "id long, set binary")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, "block"):
-            block, ids, withs = t.column("block").to_pylist(), t.column("id").to_pylist(), t.column("with").to_pylist()
-            held = t.column("set").to_pylist()
-            a, b, start = [], [], 0
-            while start < len(block):
-                stop = start
-                while stop < len(block) and block[stop] == block[start]:
-                    stop += 1
-                own = {ids[k]: np.frombuffer(held[k], U) for k in range(start, stop)}
-                up = {i: i for i in own}
-
-                def top(i: int) -> int:
-                    while up[i] != i:
-                        up[i] = i = up[up[i]]
-                    return i
-
-                for k in range(start, stop):
-                    for other in withs[k]:
-                        x, y = top(ids[k]), top(other)
-                        if x != y and alike(own[ids[k]], own[other], percent):
-                            up[x] = y
-                            a.append(ids[k])
-                            b.append(other)
-                start = stop
-            yield _batch(a=(a, pa.int64()), b=(b, pa.int64()))
-
-    return written(members.join(known, "id").repartition("block").sortWithinPartitions("block", "id").mapInArrow(check, "a long, b long"), "links")
-
-
-def small_nodes(tokens: DataFrame, roots: int) -> tuple[DataFrame, DataFrame]:
-    """block, id of the small nodes (two documents at least), and node, id, n of nodes that are large DEEPEST levels down."""
-    found, level = None, tokens
-    for depth in range(START, DEEPEST + 1):
-        rows = written(_branched(level, START if depth == START else 1, roots if depth == START else 0), "nodes")
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        sized = written(rows.join(sizes, "node"), "sized")
-        here = sized.where(F.col("n") <= SMALL).select(F.col("node").alias("block"), "id")
-        found = here if found is None else found.union(here)
-        large = sized.where(F.col("n") > SMALL)
-        if depth == DEEPEST or large.limit(1).count() == 0:
-            break
-        level = large.select("node", "id").join(tokens, "id")
-    return found, large
-
-
-def _dealt(dense: DataFrame) -> DataFrame:
-    """block, id: the documents of large nodes in random blocks of about SMALL / 2, DEALINGS times over."""
-    blocks = [F.xxhash64("node", F.lit(k), F.pmod(F.xxhash64("id", F.lit(k)), F.ceil(F.col("n") * 2 / SMALL))) for k in range(DEALINGS)]
-    return dense.select(F.explode(F.array(*blocks)).alias("block"), "id")
-
-
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        return rows.withColumn("label", F.col("id"))
     return rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def _unsettled(dense: DataFrame, labels: DataFrame) -> DataFrame:
-    """node, id of the large nodes that hold several components."""
-    several = _labelled(dense.select("node", "id"), labels).groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("node")
-    return written(dense.select("node", "id").join(several, "node"), "unsettled")
+def _blocks_of(rows: DataFrame) -> DataFrame:
+    """block, id of nodes (node, id, n): a large node in random blocks of about SMALL / 2, each with its smallest member."""
+    parts = F.when(F.col("n") <= SMALL, F.lit(1).cast("long")).otherwise(F.ceil(F.col("n") * 2 / SMALL))
+    block = F.xxhash64("node", F.col("part"))
+    own = rows.select("node", "id", F.pmod(F.xxhash64("id", "node"), parts).alias("part")).select(block.alias("block"), "id")
+    large = rows.where(F.col("n") > SMALL).groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    first = large.select("node", "id", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")).select(block.alias("block"), "id")
+    return own.union(first)
+
+
+class Search:
+    """The components so far of one search, and its intermediate tables."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, scratch: Scratch, width: int, percent: int):
+        self.docs, self.classes, self.scratch, self.width, self.percent = docs, classes, scratch, width, percent
+        self.short = classes.select("id", "short")
+        self.labels: DataFrame | None = None  # id, label: of classes with a link
+
+    def several(self, rows: DataFrame) -> DataFrame:
+        """node, id, n of rows (node, id) in nodes that hold several components."""
+        told = _labelled(rows, self.labels)
+        sizes = told.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        kept = self.scratch.write(sizes.where("lo <> hi").select("node", "n"), "sizes")
+        out = self.scratch.write(rows.join(kept, "node").select("node", "id", "n"), "several")
+        self.scratch.drop(kept)
+        return out
+
+    def parted(self, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """block, id that meet all pairs of different components in those large nodes that are one component but for SMALL / 2 documents; node, id of the others.
+
+        Each of a node's blocks has a part of its largest component and all its other documents,
+        so it makes at most twice its rows.
+        """
+        told = _labelled(large.select("node", "id", "n"), self.labels)
+        sizes = told.groupBy("node", "label").agg(F.count("*").alias("k"), F.min("n").alias("n"))
+        most = sizes.groupBy("node").agg(F.max(F.struct("k", "label")).alias("m"), F.min("n").alias("n"))
+        most = self.scratch.write(most.select("node", F.col("m.label").alias("main"), (F.col("n") - F.col("m.k")).alias("others")), "main")
+        few = told.join(most.where(F.col("others") <= SMALL // 2), "node")
+        parts = F.ceil(F.col("n") * 2 / SMALL)
+        mass = few.where("label = main").select("node", "id", F.pmod(F.xxhash64("id", "node"), parts).alias("part"))
+        others = few.where("label <> main").select("node", "id", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+        many = self.scratch.write(told.join(most.where(F.col("others") > SMALL // 2), "node").select("node", "id"), "many")
+        return mass.union(others).select(F.xxhash64("node", "part").alias("block"), "id"), many
+
+    def join(self, blocks: DataFrame, all_pairs: bool) -> None:
+        """Take in the links among documents of one block (block, id)."""
+        told = _labelled(blocks.join(self.short, "id"), self.labels)
+        pairs = self.scratch.write(_candidates(told, agreement(self.percent), all_pairs), "pairs")
+        links = self.scratch.write(self.confirmed(pairs), "links")
+        self.scratch.drop(pairs)
+        if links.limit(1).count():
+            self.merge(links)
+        self.scratch.drop(links)
+
+    def merge(self, links: DataFrame) -> None:
+        """Take in links (a, b): only the labels that they join are worked on."""
+        if self.labels is None:
+            found = components(links, scratch=self.scratch)
+            self.labels = self.scratch.write(found, "known")
+            return
+        ends = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+        known = self.scratch.write(self.labels.join(ends, "id", "full").select("id", F.coalesce("label", "id").alias("label")), "known")
+        a = known.select(F.col("id").alias("a"), F.col("label").alias("la"))
+        b = known.select(F.col("id").alias("b"), F.col("label").alias("lb"))
+        pairs = links.join(a, "a").join(b, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        joined = components(pairs.distinct(), scratch=self.scratch).select(F.col("id").alias("label"), F.col("label").alias("to"))
+        after = self.scratch.write(known.join(joined, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "known")
+        self.scratch.drop(known, self.labels)
+        self.labels = after
+
+    def with_texts(self, rows: DataFrame) -> DataFrame:
+        """rows with the text of class id.  A class's text is found by doc_id and a hash of the text."""
+        named = self.scratch.write(rows.join(self.classes.select("id", "first", "th"), "id"), "named")
+        if named.count() <= MOST_BROADCAST:
+            named = F.broadcast(named)
+        texts = self.docs.select(F.col("doc_id").cast("long").alias("first"), F.xxhash64("text").alias("th"), "text")
+        return texts.join(named, ["first", "th"]).drop("first", "th")
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """Links a, b: a forest of those pairs that hold on the full sets; every pair is settled by a check or by links around it.
+
+        A pair is checked in its block, where each document comes once.
+        """
+        width, percent = self.width, self.percent
+        one, other = pairs.select("block", F.col("a").alias("id"), F.col("b").alias("with")), pairs.select("block", F.col("b"), F.lit(None).cast("long"))
+        members = one.union(other).groupBy("block", "id").agg(F.collect_list("with").alias("with"))
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in _groups(batches, "block"):
+                block, ids, withs = t.column("block").to_numpy(), t.column("id").to_pylist(), t.column("with").to_pylist()
+                texts = t.column("text")
+                edge = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
+                a, b = [], []
+                for start, stop in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                    own = dict(zip(ids[start:stop], shingle_sets(texts[start:stop].to_pylist(), width)))
+                    up = {i: i for i in own}
+
+                    def top(i: int) -> int:
+                        while up[i] != i:
+                            up[i] = i = up[up[i]]
+                        return i
+
+                    for k in range(start, stop):
+                        for with_ in withs[k]:
+                            x, y = top(ids[k]), top(with_)
+                            if x != y and alike(own[ids[k]], own[with_], percent):
+                                up[x] = y
+                                a.append(ids[k])
+                                b.append(with_)
+                yield _batch(a=(a, pa.int64()), b=(b, pa.int64()))
+
+        dealt = self.with_texts(members).repartition("block").sortWithinPartitions("block", "id")
+        return dealt.mapInArrow(check, "a long, b long")
 
 
 def _classes() -> np.ndarray:
@@ -313,20 +355,15 @@ def _classes() -> np.ndarray:
     return np.array(out)
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, text of those documents."""
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-
-
-def meetings(docs: DataFrame, ids: DataFrame, width: int, percent: int) -> DataFrame:
-    """key, side, id: any two of the documents ids that reach percent have a key in common, on side 0 both or on sides 1 and 2.
+def meetings(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """key, side, id: any two of texts (id, text) that reach percent have a key in common, on side 0 both or on sides 1 and 2.
 
     Sets of x and y shingles at the similarity share at least c = percent (x + y) /
     (100 + percent), so in an order common to all sets, here the rarest first, the first
     x - c + 1 of the one and the first y - c + 1 of the other have one in common.  A
     document has keys for each class of sizes that it can be similar to.
     """
-    texts, lows = written(_texts(docs, ids), "texts"), _classes()
+    lows = _classes()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(COUNTED, np.int64)
@@ -371,7 +408,7 @@ def meetings(docs: DataFrame, ids: DataFrame, width: int, percent: int) -> DataF
     return texts.mapInArrow(run, "key long, side int, id long")
 
 
-def _met(keys: DataFrame, labels: DataFrame) -> DataFrame:
+def _met(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
     """key, side, id, n0, n1, n2 (documents on each side) of keys at which documents of several components can meet."""
     of = [F.count_if(F.col("side") == k).alias(f"n{k}") for k in range(3)]
     sizes = _labelled(keys, labels).groupBy("key").agg(*of, F.min("label").alias("lo"), F.max("label").alias("hi"))
@@ -380,42 +417,92 @@ def _met(keys: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _blocks(met: DataFrame) -> DataFrame:
     """block, id: blocks of about SMALL documents at most, in which all that can meet at a key do."""
-    parts = [F.when(F.col("n0") + F.col("n1") + F.col("n2") <= SMALL, F.lit(1).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), F.ceil(F.col(f"n{k}") * 2 / SMALL))) for k in range(3)]
+    whole = F.col("n0") + F.col("n1") + F.col("n2") <= SMALL
+    one = F.lit(1).cast("long")
+    parts = [F.when(whole, one).otherwise(F.greatest(one, F.ceil(F.col(f"n{k}") * 2 / SMALL))) for k in range(3)]
     side, part, other = F.col("side"), F.col("part"), F.col("other")
     mine = F.when(side == 0, parts[0]).when(side == 1, parts[1]).otherwise(parts[2])
     theirs = F.when(side == 0, parts[0]).when(side == 1, parts[2]).otherwise(parts[1])
-    rows = met.select("key", "side", "id", F.pmod(F.xxhash64("id"), mine).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), theirs - 1)).alias("other"))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), theirs - 1))
+    rows = met.select("key", "side", "id", F.pmod(F.xxhash64("id"), mine).alias("part"), others.alias("other"))
     lo = F.when(side == 0, F.least(part, other)).when(side == 1, part).otherwise(other)
     hi = F.when(side == 0, F.greatest(part, other)).when(side == 1, other).otherwise(part)
     return rows.select(F.xxhash64("key", lo, hi).alias("block"), "id")
 
 
+def class_table(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, key, first (the smallest doc_id), th, sketch and short of every distinct set."""
+    full = rows.where("key is not null and doc_id is not null")
+    least = full.groupBy("key").agg(F.min(F.struct("doc_id", "th", "sketch", "short")).alias("m"))
+    named = least.select("key", F.col("m.doc_id").alias("first"), "m.th", "m.sketch", "m.short")
+    return scratch.write(named.withColumn("id", F.monotonically_increasing_id()), "classes")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
     short_batches(docs.sparkSession)
-    rows = written(described(docs, width), "described")
-    full = rows.where("key is not null and doc_id is not null")
-    classes = written(full.groupBy("key").agg(F.min(F.struct("doc_id", "sketch", "short")).alias("m")).select(F.col("m.doc_id").alias("id"), "m.sketch", "m.short", "key"), "classes")
-    tokens = classes.groupBy("id").agg(F.min(F.struct("sketch", "short")).alias("m")).select("id", "m.sketch", "m.short")
-    sketch, short, least = tokens.select("id", "sketch"), tokens.select("id", "short"), agreement(percent)
-    found, dense = small_nodes(sketch, trees(percent))
-    leaves = written(found.union(_dealt(dense)).join(short, "id"), "leaves")
-
-    def linked(rows: DataFrame, labels: DataFrame | None, all_pairs: bool) -> DataFrame:
-        told = _labelled(rows, labels) if labels is not None else rows.withColumn("label", F.col("id"))
-        return _merged(labels, confirmed(_candidates(told, least, all_pairs), docs, width, percent))
-
-    labels = linked(leaves.where(F.pmod(F.xxhash64("block"), F.lit(FIRST)) == 0), None, False)
-    labels = linked(leaves, labels, False)
-    labels = linked(leaves, labels, True)
-    rest = _unsettled(dense, labels)
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    rows = scratch.write(described(docs, width), "described")
+    classes = class_table(rows, scratch)
+    search = Search(docs, classes, scratch, width, percent)
+    sketch = classes.select("id", "sketch")
+
+    # documents of several sets
+    of_doc = rows.where("key is not null and doc_id is not null").select("doc_id", "key").distinct()
+    repeated = of_doc.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    sets = of_doc.join(repeated, "doc_id").join(classes.select("key", "id"), "key")
+    same = sets.join(sets.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b")).where("a <> b").distinct()
+    same = scratch.write(same, "same")
+    if same.limit(1).count():
+        search.merge(same)
+
+    # a share of the nodes, in blocks
+    nodes = scratch.write(_branched(sketch, START, trees(percent)), "nodes")
+    all_nodes = search.several(nodes)
+    scratch.drop(nodes)
+    search.join(_blocks_of(all_nodes.where(F.pmod(F.xxhash64("node", F.lit("first")), F.lit(FIRST)) == 0)), False)
+
+    # nodes that still hold several components: forests between them
+    held = search.several(all_nodes.select("node", "id"))
+    scratch.drop(all_nodes)
+    search.join(_blocks_of(held), False)
+
+    # then all pairs of different components: in small nodes, in large ones that are nearly one, and in those branched deeper
+    level = search.several(held.select("node", "id"))
+    scratch.drop(held)
+    blocks, tables = [], [level]
+    for depth in range(START, DEEPEST + 1):
+        blocks.append(level.where(F.col("n") <= SMALL).select(F.col("node").alias("block"), "id"))
+        large = level.where(F.col("n") > SMALL)
+        few, many = search.parted(large)
+        blocks.append(few)
+        if depth == DEEPEST:
+            break
+        deeper = scratch.write(_branched(many.join(sketch, "id"), 1, 0), "deeper")
+        level = search.several(deeper)
+        tables += [many, deeper, level]
+    leaves = blocks[0]
+    for more in blocks[1:]:
+        leaves = leaves.union(more)
+    search.join(leaves, True)
+    rest = search.several(many)
+    scratch.drop(*tables, many)
     if rest.limit(1).count():
-        keys = written(meetings(docs, rest.select("id").distinct(), width, percent), "keys")
+        texts = scratch.write(search.with_texts(rest.select("id").distinct()).repartition("id"), "texts")
+        keys = scratch.write(meetings(texts, width, percent), "keys")
         few = F.col("n0") + F.col("n1") + F.col("n2") <= SMALL
         for size in (few, ~few):  # what the small ones join need not meet at the large ones
-            met = written(_blocks(_met(keys, labels).where(size)).distinct().join(short, "id"), "met")
-            labels = linked(met, linked(met, labels, False), True)
-    of_class = classes.select("key", F.col("id").alias("first")).join(labels.select(F.col("id").alias("first"), "label"), "first", "left").select("key", F.coalesce("label", "first").alias("component"))
+            for all_pairs in (False, True):
+                met = scratch.write(_blocks(_met(keys, search.labels).where(size)).distinct(), "met")
+                search.join(met, all_pairs)
+                scratch.drop(met)
+        scratch.drop(texts, keys)
+    scratch.drop(rest)
+
+    told = _labelled(classes.select("id", "key", "first"), search.labels)
+    least = told.groupBy("label").agg(F.min("first").alias("component"))
+    of_class = told.join(least, "label").select("key", "component")
     out = rows.select("doc_id", "n_shingles", "key").join(of_class, "key", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))

@@ -13,11 +13,13 @@ from pyspark.sql import types as T
 
 #: Rows in one Arrow batch: documents can be long, so batches stay short.
 BATCH_ROWS = 512
+RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound what a Python worker holds at once, unless the session has its own bound."""
+    if spark.conf.get(RECORDS) == "10000":  # the default
+        spark.conf.set(RECORDS, str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -41,6 +43,63 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one operator in a folder of their own, each dropped once nothing needs it any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.paths = spark, shared_dir(spark, name), {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Cut the lineage: df as Parquet, read again."""
+        path = f"{self.root}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)  # holding out keeps its id its own
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that write() returned."""
+        for df in tables:
+            _, path = self.paths.pop(id(df))
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Recent(dict):
+    """What ``make(key)`` gives, remembered for the keys met last: two generations of ``most`` entries at most.
+
+    A full young generation becomes the old one, whose entries come back when they are
+    met again; so frequent keys stay, and memory is bounded.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.old = most, {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """What make() gives, kept under name while this worker process asks for no other name: one operator's cache at a time."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

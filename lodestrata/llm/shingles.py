@@ -5,22 +5,20 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-U = np.uint64
+from lodestrata.llm.common import Recent, held
 
+U = np.uint64
 
-class WordHashes(dict):
-    """64-bit hashes of words; remembers up to ``most``."""
 
-    most = 500_000
+class WordHashes(Recent):
+    """64-bit hashes of words."""
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < self.most:
-            self[word] = h
-        return h
+    def make(self, word: bytes) -> int:
+        return xxhash.xxh64_intdigest(word)
 
 
-_WORDS = WordHashes()
+#: About 130 bytes an entry, two generations.
+MOST = 100_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -37,9 +35,10 @@ def shingle_sets(texts: list[str | None], width: int = 3) -> list[np.ndarray]:
     0x20 and 0x09-0x0D.  A text with fewer words is one shingle; one without words
     has none.
     """
+    known = held("words", lambda: WordHashes(MOST))
     words = [(t or "").encode().lower().split() for t in texts]
     counts = np.array([len(w) for w in words])
-    h = np.fromiter((x for w in words for x in map(_WORDS.__getitem__, w)), U, int(counts.sum()))
+    h = np.fromiter((x for w in words for x in map(known.__getitem__, w)), U, int(counts.sum()))
     at = np.append(0, np.cumsum(counts))
     factors = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0x27D4EB2F165667C5), U(0x85EBCA77C2B2AE63)]
     full = np.zeros(0, U)
