@@ -3,19 +3,22 @@
 A byte-level or word BPE never joins a character that is no white space with white
 space after it.  So a text may be cut in front of every blank or line feed that
 follows such a character, and the ids of the text are the ids of its chunks in
-turn.  Each distinct chunk is encoded by the library once and remembered (up to
-``MOST`` chunks; later ones are encoded again wherever they stand).
-Texts with other white space than single blanks and line feeds between words go to
-the library uncut.
+turn.  Chunks that are met often are encoded by the library once and remembered (two
+generations of ``MOST`` chunks at most; others are encoded again where they stand).
+Texts with other white space than single blanks and line feeds between words, or with
+the name of a special token, go to the library uncut.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
-#: Chunks that one worker remembers.
-MOST = 1_300_000
+from lodestrata.llm.common import Recent, held
+
+#: Chunks in one of a worker's two generations, of about 200 bytes each.
+MOST = 200_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -25,14 +28,15 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Chunks(dict):
-    """Ids of chunks; a chunk that is missing is encoded by the library.
+class Chunks(Recent):
+    """Ids of chunks; a chunk that isn't remembered is encoded by the library.
 
     The key ``word`` stands for a blank and the word, ``\\nword`` for a line feed
     and the word, ``\\0word`` for a word at the start of a text.
     """
 
     def __init__(self, tok):
+        super().__init__(MOST)
         self.tok, self.tokenize, self.letters = tok, tok.model.tokenize, byte_letters()
         # a vocabulary that drops white space and lower-cases has no ids for a blank
         self.lower = not tok.encode(" ", add_special_tokens=False).ids
@@ -49,7 +53,7 @@ class Chunks(dict):
             word = word.encode().decode("latin1").translate(self.letters)
         return array("I", [t.id for t in self.tokenize(before + word)]).tobytes()
 
-    def __missing__(self, key: str) -> bytes:
+    def make(self, key: str) -> bytes:
         first = key[0]
         word = key[1:] if first == "\n" or first == "\0" else key
         stop = b""
@@ -68,8 +72,6 @@ class Chunks(dict):
             got = self.piece(core, "") + stop
         else:
             got = (self[core] if stop else self.piece(core, self.blank)) + stop
-        if len(self) < MOST:
-            self[key] = got
         return got
 
 
@@ -81,7 +83,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their names in a text are ordinary text
+        names = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.names = re.compile("|".join(map(re.escape, names)) or "(?!)")
         self.chunks = Chunks(self.tok)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -89,8 +92,8 @@ class ChunkEncoder:
         ids, out = self.chunks.__getitem__, []
         for t in texts:
             words = t.split() if t else []
-            if not words or "\0" in t or " ".join(words) != t.replace("\n", " "):
-                out.append(self.chunks.library(t) if t else b"")  # other white space than single blanks and line feeds
+            if not words or "\0" in t or " ".join(words) != t.replace("\n", " ") or self.names.search(t):
+                out.append(self.chunks.library(t) if t else b"")  # other white space than single blanks and line feeds, or a special name
                 continue
             if not self.chunks.lower:
                 words = t.replace("\n", " \n").split(" ")
@@ -99,11 +102,6 @@ class ChunkEncoder:
         return out
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
     """The worker process's encoder for a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    return held(path, lambda: ChunkEncoder(path))

@@ -209,7 +209,6 @@ def test_token_store_round_trip(spark, monkeypatch):
 
     monkeypatch.setattr(token_store, "SEGMENT", 500)
     tok = Tokenizer.from_file(vocab.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     texts = ODD + corpus(20)
     docs = table_of(spark, texts).union(spark.createDataFrame([(3, "again", "en", "s", 5)], DOCS)).orderBy(F.desc("doc_id"))
     got = sorted(tuple(r) for r in token_store.read_token_store(token_store.write_token_store(docs, vocab.path("byte_bpe_50k.json"), 0, parts=3)).collect())
@@ -260,7 +259,6 @@ def test_packing_holds_every_token_once(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(vocab.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     texts = ODD + corpus(60)
     got = packing.pack_documents(table_of(spark, texts).withColumn("start", F.lit("clash")), vocab.path("word_bpe_49k.json"), 1).collect()
     for i, t in enumerate(texts):
