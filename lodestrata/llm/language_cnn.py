@@ -16,7 +16,6 @@ training rows every text is.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,6 @@ from lodestrata.llm.common import below, short_batches, with_fields
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 #: Windows that are run at once.
 BLOCK = 256
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def _fold() -> np.ndarray:
@@ -141,7 +139,7 @@ class ByteCnn:
                 owner.clear()
                 size = 0
 
-        spoken = [t is not None and LETTER.search(t) is not None for t in texts]
+        spoken = [t is not None and any(map(str.isalpha, t)) for t in texts]
         for k, t in enumerate(texts):
             if spoken[k]:
                 held.append(windows(t))
