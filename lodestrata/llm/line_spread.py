@@ -10,30 +10,21 @@ everywhere else.
 
 A null site is no site; a null text stays null.  Copies of a document on many sites
 so keep one whole document.  Rows that share the smallest doc_id each keep the line.
+
+All of it is DataFrame functions: each document gets the boilerplate that it holds by
+a join on doc_id, and is cut and joined again where it stands.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lodestrata.llm.common import short_batches, with_fields, written
+from lodestrata.llm.common import written
 
 MIN_SITES, LG_K, SIGMAS = 10, 10, 4.0
-#: Boilerplate lines that are broadcast (16 bytes each); more of them are joined.
-MOST_BROADCAST = 2_000_000
-
-
-def line_hash(line: str) -> int:
-    """Spark's xxhash64 of one string."""
-    h = xxhash.xxh64_intdigest(line.strip(" ").encode(), 42)
-    return h - (1 << 64) if h >> 63 else h
+#: Boilerplate lines that are broadcast (some 50 bytes each in memory); more of them are joined by a shuffle.
+MOST_BROADCAST = 200_000
 
 
 def _lines(docs: DataFrame, site: str) -> DataFrame:
@@ -56,52 +47,43 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source
     return written(sure.select("key", "first_doc").unionByName(near.join(exact, "key", "left_semi").select("key", "first_doc")), "boilerplate")
 
 
-def clean(text: str | None, doc_id: int | None, first: dict[int, int | None]) -> tuple[int, int, str | None]:
-    """Number of lines that aren't blank, of those removed, and the text without them."""
-    if text is None:
-        return 0, 0, None
-    kept, met, n, gone = [], set(), 0, 0
-    for line in text.split("\n"):
-        if line.strip(" "):
-            n += 1
-            h = line_hash(line)
-            if h in first:
-                if first[h] != doc_id or h in met:
-                    gone += 1
-                    continue
-                met.add(h)
-        kept.append(line)
-    return n, gone, "\n".join(kept) if gone else text
+def _gone(key: Column, i: Column, keys: Column, bad: Column, own: Column) -> Column:
+    """Does the line at place i go: boilerplate of another document, or this one's own once more?"""
+    again = F.array_contains(own, key) & (F.array_position(keys, key) <= i)
+    return F.coalesce(F.array_contains(bad, key) | again, F.lit(False))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
-    """docs with text cleaned, and n_lines and n_removed beside its own columns."""
-    spark = docs.sparkSession
-    short_batches(spark)
+    """docs with text cleaned, and n_lines and n_removed beside its own columns.
+
+    Columns of docs with these two names are replaced.
+    """
     docs = docs.drop("n_lines", "n_removed")
     found = boilerplate(docs, min_sites, site)
-    many = found.count() > MOST_BROADCAST
-    if many:
-        per_doc = _lines(docs, site).join(found, "key").groupBy("doc_id").agg(F.collect_set(F.struct("key", "first_doc")).alias("__found"))
-        docs = docs.join(per_doc.withColumnRenamed("doc_id", "__doc"), F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc")
-        told = None
-    else:
-        rows = found.toPandas()
-        told = spark.sparkContext.broadcast((rows["key"].to_numpy(np.int64), rows["first_doc"].tolist()))
-    columns = [c for c in docs.columns if c != "__found"]
-    out = with_fields(T.StructType([docs.schema[c] for c in columns]), n_lines=T.LongType(), n_removed=T.LongType())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = dict(zip(told.value[0].tolist(), told.value[1])) if told else {}
-        for b in batches:
-            got = {c: b.column(b.schema.get_field_index(c)) for c in columns}
-            own = [{x["key"]: x["first_doc"] for x in f or []} for f in b.column(b.schema.get_field_index("__found")).to_pylist()] if many else None
-            ids, texts = got["doc_id"].to_pylist(), got["text"].to_pylist()
-            done = [clean(t, d, own[k] if own else first) for k, (t, d) in enumerate(zip(texts, ids))]
-            got["text"] = pa.array([x[2] for x in done], pa.string())
-            yield pa.RecordBatch.from_arrays([*got.values(), pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64())], [f.name for f in out])
-
-    return docs.mapInArrow(run, out)
+    told = F.broadcast(found) if found.count() <= MOST_BROADCAST else found
+    held = _lines(docs, site).join(told, "key").groupBy(F.col("doc_id").alias("__doc"))
+    per_doc = held.agg(
+        F.collect_set(F.when(F.col("first_doc").eqNullSafe(F.col("doc_id")), F.col("key"))).alias("__own"),
+        F.collect_set(F.when(~F.col("first_doc").eqNullSafe(F.col("doc_id")), F.col("key"))).alias("__bad"),
+    )
+    none = F.array().cast("array<bigint>")
+    lines = F.split("text", "\n")
+    both = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc")
+    both = both.withColumns({"__own": F.coalesce("__own", none), "__bad": F.coalesce("__bad", none), "__lines": F.when(F.col("text").isNotNull(), lines)})
+    hit = F.size("__own") + F.size("__bad") > 0
+    keyed = F.transform("__lines", lambda x: F.struct(x.alias("x"), F.xxhash64(F.trim(x)).alias("k")))
+    both = both.withColumn("__keyed", F.when(hit, keyed))
+    keys = F.when(F.size("__own") > 0, F.transform("__keyed", lambda x: x["k"])).otherwise(none)
+    both = both.withColumn("__keys", keys)
+    left = F.filter("__keyed", lambda x, i: ~_gone(x["k"], i, F.col("__keys"), F.col("__bad"), F.col("__own")))
+    both = both.withColumn("__left", left)
+    gone = F.when(F.col("__left").isNull(), F.lit(0)).otherwise(F.size("__keyed") - F.size("__left"))
+    text = F.when(gone > 0, F.array_join(F.transform("__left", lambda x: x["x"]), "\n")).otherwise(F.col("text"))
+    return both.select(
+        *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.filter("__lines", lambda x: F.trim(x) != ""))).cast("long").alias("n_lines"),
+        gone.cast("long").alias("n_removed"),
+    )
 
 
 #: The same in DuckDB SQL: exact counts for every line.
