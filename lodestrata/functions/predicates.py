@@ -7,14 +7,14 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestrata.functions.scalars import col, normalize, tokenize
+from lodestrata.functions.scalars import col, normalize, tokenize, trimmed
 
 # Role words that name no thing.
 GENERIC_ALIASES = (
     "agent", "app", "the app", "application", "cli", "codebase", "current directory", "cwd", "current worktree", "daemon", "dir", "directory",
-    "engine", "executor", "here", "loop", "main", "module", "north star", "orchestrator", "package", "project", "the project", "repo", "the repo",
-    "repo root", "repository", "root", "runner", "server", "service", "session", "task orchestrator", "room orchestrator", "tool", "this repo",
-    "worktree", "workspace", "operations app", "ops app", "the fleet",
+    "engine", "executor", "here", "loop", "main", "module", "orchestrator", "package", "project", "the project", "repo", "the repo",
+    "repo root", "repository", "root", "runner", "server", "service", "session", "task orchestrator", "tool", "this repo",
+    "worktree", "workspace",
 )
 # The vocabulary of doing work.
 PROCESS_NOUNS = (
@@ -85,23 +85,23 @@ def valid_at(at: Column | None = None, valid_from: str = "valid_from", invalid_a
 
 def is_ephemeral(name: Column | str, worktree_prefixes: tuple[str, ...] = ()) -> Column:
     """an artifact of one run: temporary paths, work trees, bare hex ids, UUIDs, nothing."""
-    n = F.trim(col(name))
+    n = trimmed(name)
     temp = reduce(lambda a, b: a | b, [n.startswith(d) for d in TEMP_DIRS])
     tree = n.rlike("|".join([r"(?i)-wt-[a-z0-9]{6,}$", *(f"^{p}-wt-" for p in worktree_prefixes)]))
     return (n == "") | temp | tree | F.lower(n).rlike("^[0-9a-f]{8,}$") | n.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 
 
-def is_generic_alias(name: Column | str, source_dirs: tuple[str, ...] = SOURCE_DIRS) -> Column:
-    """a role or a location rather than an identity."""
-    n = F.lower(F.trim(col(name)))
+def is_generic_alias(name: Column | str, source_dirs: tuple[str, ...] = SOURCE_DIRS, more: tuple[str, ...] = ()) -> Column:
+    """a role or a location rather than an identity; ``more``: what a user's own vocabulary adds."""
+    n = F.lower(trimmed(name))
     parts = F.split(n, "/")
     place = (F.size(parts) == 2) & ~n.contains(".") & ~n.startswith("/") & F.get(parts, F.lit(0)).isin(*source_dirs)
-    return (n == "") | n.isin(*GENERIC_ALIASES) | place
+    return (n == "") | n.isin(*GENERIC_ALIASES, *more) | place
 
 
 def is_generic_name(name: Column | str) -> Column:
     """process vocabulary: a noun of work, a bare number, a numbered step, a qualified noun of work, or a generic alias."""
-    n = F.regexp_replace(F.lower(F.trim(col(name))), "^the ", "")
+    n = F.regexp_replace(F.lower(trimmed(name)), "^the ", "")
     words = F.split(F.trim(n), "\\s+")
     qualified = (F.size(words) == 2) & F.get(words, F.lit(1)).isin(*PROCESS_NOUNS)
     return (n == "") | n.isin(*PROCESS_NOUNS) | n.rlike(r"^\d{1,6}$") | n.rlike(r"^(task|phase|step|iteration|wave|round|part)\s+\d+") | qualified | is_generic_alias(n)
@@ -179,7 +179,15 @@ def effective_status(status: Column | str, empty: Column | str, stale: Column |
     return F.when(~s.isin("", "ready"), s).when(col(empty), "empty").when(col(stale), "stale").otherwise("ready")
 
 
-def pattern_symbols(pattern: Column | str, noise: tuple[str, ...] = ()) -> Column:
+# Words of search patterns that name no symbol.
+NOISE_WORDS = (
+    "use", "class", "function", "extends", "implements", "interface", "return", "import", "from", "require", "const", "var", "let", "new", "this", "self",
+    "static", "public", "private", "protected", "async", "await", "func", "type", "struct", "package", "def", "todo", "fixme", "hack", "note", "xxx", "app",
+    "src", "lib", "test", "tests", "spec", "vendor", "node_modules", "internal",
+)
+
+
+def pattern_symbols(pattern: Column | str, noise: tuple[str, ...] = NOISE_WORDS) -> Column:
     """the identifiers in a search pattern that look like symbols: three characters or more, with a capital or an underscore."""
     looks = lambda x: (F.length(x) >= 3) & x.rlike("^[A-Za-z_]") & x.rlike("[A-Z_]") & (~F.lower(x).isin(*noise) if noise else F.lit(True))
     return F.array_distinct(F.filter(F.regexp_extract_all(col(pattern), F.lit("[A-Za-z0-9_]+"), F.lit(0)), looks))

@@ -16,6 +16,8 @@ SECRETS = (
     r"ghp_[A-Za-z0-9]{20,}",
     r"sk-[A-Za-z0-9_-]{20,}",
 )
+# What an edge between two node types is called.
+EDGE_LABELS = {("function", "function"): "calls", ("class", "interface"): "implements", ("table", "table"): "fk", ("file", "file"): "changed_with", ("function", "table"): "queries"}
 # Catalog codes of foreign key actions.
 FK_ACTIONS = {"a": "NO ACTION", "r": "RESTRICT", "c": "CASCADE", "n": "SET NULL", "d": "SET DEFAULT"}
 
@@ -24,9 +26,18 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+#: White space of Unicode.
+SPACE = r"[\s\x0B\x85\p{Z}]"
+
+
+def trimmed(text: Column | str) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(col(text), f"^{SPACE}+|{SPACE}+$", "")
+
+
 def normalize(name: Column | str) -> Column:
     """Lower case, trimmed, runs of blanks and underscores as one hyphen."""
-    return F.regexp_replace(F.lower(F.trim(col(name))), "[ _]+", "-")
+    return F.regexp_replace(F.lower(trimmed(name)), "[ _]+", "-")
 
 
 def slugify(name: Column | str) -> Column:
@@ -36,7 +47,7 @@ def slugify(name: Column | str) -> Column:
 
 def normalize_relation(rel: Column | str) -> Column:
     """Lower case; runs of anything but a-z, 0-9, _ become one underscore; none at the ends."""
-    low = F.regexp_replace(F.lower(F.trim(col(rel))), "[^a-z0-9_]+", "_")
+    low = F.regexp_replace(F.lower(trimmed(rel)), "[^a-z0-9_]+", "_")
     return F.regexp_replace(F.regexp_replace(low, "_+", "_"), "^_|_$", "")
 
 
@@ -108,9 +119,9 @@ def change_status(added: Column | str, removed: Column | str) -> Column:
     return F.when((col(added) > 0) & (col(removed) == 0), "A").otherwise("M")
 
 
-def is_hex(text: Column | str, length: int = 40) -> Column:
-    """C15."""
-    return col(text).rlike(f"^[0-9a-fA-F]{{{length}}}")
+def is_hex(text: Column | str) -> Column:
+    """Hexadecimal digits alone; so is an empty text."""
+    return col(text).rlike("^[0-9a-fA-F]*\\z")
 
 
 def decode_range(r: Column | str) -> Column:
@@ -172,8 +183,7 @@ def table_column(name: Column | str) -> Column:
 def edge_label(src_type: Column | str, dst_type: Column | str) -> Column:
     """What an edge between two node types is shown as."""
     s, d = col(src_type), col(dst_type)
-    told = {("function", "function"): "calls", ("class", "interface"): "implements", ("table", "table"): "fk", ("file", "file"): "changed_with", ("function", "table"): "queries"}
-    return F.coalesce(*[F.when((s == a) & (d == b), label) for (a, b), label in told.items()], F.lit("connected"))
+    return F.coalesce(*[F.when((s == a) & (d == b), label) for (a, b), label in EDGE_LABELS.items()], F.lit("connected"))
 
 
 def fenced_json(raw: Column | str) -> Column:
@@ -182,12 +192,26 @@ def fenced_json(raw: Column | str) -> Column:
     return F.nullif(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
+def clean_path(path: Column | str) -> Column:
+    """A path without empty and ``.`` parts, and with ``..`` taken back; what is left of nothing is ``/`` or ``.``."""
+    p = col(path)
+    root = p.startswith("/")
+    up = lambda done: (F.size(done) > 0) & (F.element_at(done, -1) != "..")
+    back = lambda done: F.when(up(done), F.slice(done, F.lit(1), F.size(done) - 1)).when(root, done).otherwise(F.concat(done, F.array(F.lit(".."))))
+    start = F.array().cast("array<string>")
+    step = lambda done, x: F.when(x.isin("", "."), done).when(x == "..", back(done)).otherwise(F.concat(done, F.array(x)))
+    joined = F.array_join(F.aggregate(F.split(p, "/"), start, step), "/")
+    return F.when(root, F.concat(F.lit("/"), joined)).when(joined == "", ".").otherwise(joined)
+
+
 def ancestors(path: Column | str, least: int = 2) -> Column:
-    """The path and its ancestors of at least ``least`` components, deepest first."""
-    parts = F.filter(F.split(col(path), "/"), lambda x: x != "")
+    """The cleaned path, and its ancestors of at least ``least`` components, deepest first."""
+    clean = clean_path(path)
+    parts = F.filter(F.split(clean, "/"), lambda x: x != "")
     n = F.size(parts)
-    down = F.when(n >= least, F.sequence(n, F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(down, lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
+    head = F.when(clean.startswith("/"), F.lit("/")).otherwise("")
+    up = F.when(n > least, F.sequence(n - 1, F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    return F.concat(F.array(clean), F.transform(up, lambda i: F.concat(head, F.array_join(F.slice(parts, F.lit(1), i), "/"))))
 
 
 def coverage_context(hits: Column | str) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.predicates import SKIP_DIRS, effective_status, is_stale
+from lodestrata.plans.storage import checkpointed
 
 MIN_SHARE, PRIMARY_SHARE = 0.01, 0.10
 # File extensions by language.
@@ -83,19 +87,21 @@ def change_state(files: DataFrame, cursors: DataFrame, now: Column, active: str
 def batches(rows: DataFrame, size: int = 1000, *order: str) -> DataFrame:
     """Rows in numbered batches.
 
-    Rows get their place from a sort by ranges: places within each range, and the
-    ranges' sizes added up.
+    Rows are sorted by ranges and written once with the number of their range; places
+    within each range and the ranges' sizes come from that table alone, as another sort
+    could cut the ranges elsewhere.
     """
     spark = rows.sparkSession
-    sorted_rows = rows.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__mono", F.monotonically_increasing_id())
-    sizes = sorted(sorted_rows.groupBy("__part").count().collect())  # a row for each range
+    ranged = rows.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    held = checkpointed(ranged)
+    sizes = sorted(held.groupBy("__part").count().collect())  # a row for each range
     base, at = [], 0
     for part, n in sizes:
         base.append((part, at))
         at += n
     bases = spark.createDataFrame(base, "__part int, __base long")
-    place = F.col("__base") + F.col("__mono").bitwiseAND(F.lit((1 << 33) - 1))
-    return sorted_rows.join(F.broadcast(bases), "__part").withColumn("batch", F.floor(place / size)).drop("__part", "__mono", "__base")
+    batch = F.floor((F.col("__base") + F.col("__place")) / size)
+    return held.join(F.broadcast(bases), "__part").withColumn("batch", batch).drop("__part", "__place", "__base")
 
 
 def roll_up(results: DataFrame) -> DataFrame:
@@ -129,3 +135,33 @@ def counts(**tables: DataFrame) -> DataFrame:
         part = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def domain_counts(statuses: DataFrame) -> DataFrame:
+    """For each domain the number of repositories of each label (domain, status)."""
+    return statuses.groupBy("domain").agg(F.count("*").alias("repos"), *[F.count_if(F.col("status") == s).alias(s) for s in ("ready", "stale", "empty", "partial")])
+
+
+def indexer_results(repos: DataFrame, runner: Callable[[str, str], str], need: str = "primary") -> DataFrame:
+    """Run an indexer given from outside for each repository and language (repo, language, tier, file_count).
+
+    runner: (language, repo) -> path of the index, or an exception; what it raises is
+    the row's error.  Languages of another tier than ``need`` are skipped.
+    """
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.tier != need:
+                    out.append((r.repo, r.language, "skipped", None, None))
+                    continue
+                try:
+                    out.append((r.repo, r.language, "ok", runner(r.language, r.repo), None))
+                except FileNotFoundError as e:
+                    out.append((r.repo, r.language, "missing", None, str(e)))
+                except Exception as e:
+                    out.append((r.repo, r.language, "failed", None, str(e)))
+            yield pd.DataFrame(out, columns=["repo", "language", "status", "index", "error"])
+
+    return repos.select("repo", "language", "tier").mapInPandas(run, "repo string, language string, status string, index string, error string")

@@ -217,3 +217,19 @@ def report(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.groupBy().pivot("k", ["node_count", "edge_count", "community_count", "top_degree", "surprising_count"]).agg(F.first("v"))
+
+
+def build(code: dict[str, DataFrame], git: dict[str, DataFrame], foreign_keys: DataFrame, tables: DataFrame, endpoints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of all four domains.
+
+    code: symbols, occurrences, calls, impls; git: churn, contributors, pairs;
+    tables: name; endpoints: pattern.
+    """
+    symbols = code_nodes(code["symbols"], code["occurrences"])
+    files = git["churn"].select(*_node("file", F.col("path"), F.col("path")))
+    schemas = tables.select(*_node("table", F.col("name"), F.col("name")))
+    nodes = union_nodes(symbols, files, author_nodes(git["contributors"]), schemas, endpoint_nodes(endpoints))
+    edges = call_edges(symbols, code["calls"])
+    for more in (impl_edges(symbols, code["impls"]), fk_edges(foreign_keys), cochange_edges(git["churn"], git["pairs"])):
+        edges = edges.unionByName(more)
+    return nodes, edges

@@ -283,3 +283,43 @@ def extracted(episodes: DataFrame, extractor, glossary: DataFrame | None = None)
     rows = episodes.select("id", ask(prompt).alias("raw"))
     result = F.from_json(fenced_json("raw"), EXTRACTED)
     return rows.withColumn("result", result).withColumn("parse_ok", F.col("result.facts").isNotNull() | F.col("result.entities").isNotNull())
+
+
+def hygiene_counters(cleaned: DataFrame) -> DataFrame:
+    """One row of what hygiene() found."""
+    return cleaned.agg(
+        F.count("*").alias("entities"),
+        F.count_if("odd").alias("odd"),
+        F.coalesce(F.sum("aliases_dropped"), F.lit(0)).alias("aliases_dropped"),
+        F.coalesce(F.sum("refs_dropped"), F.lit(0)).alias("refs_dropped"),
+        F.count_if(F.size("collides_with") > 0).alias("collisions"),
+    )
+
+
+def reread(episodes: DataFrame, sources: DataFrame, cursors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The episodes (source_ref and more) of sources (path, mod_time) that changed since their cursor, all of each, and the cursors after it."""
+    seen = cursors.select("path", F.col("mod_time").alias("__seen"))
+    changed = sources.join(seen, "path", "left").where("__seen is null or mod_time <> __seen").select("path", "mod_time")
+    whole = episodes.withColumn("path", F.split_part("source_ref", F.lit("#"), F.lit(1))).join(changed.select("path"), "path", "left_semi").drop("path")
+    return whole, cursors.join(changed.select("path"), "path", "left_anti").select("path", "mod_time").unionByName(changed)
+
+
+class Ingest:
+    """What an ingest run asks of the store: the glossary, commits of extracted episodes, cursors."""
+
+    def __init__(self, entities: DataFrame, facts: DataFrame, episodes: DataFrame, cursors: DataFrame):
+        self.entities, self.facts, self.episodes, self.cursors = entities, facts, episodes, cursors
+
+    def glossary(self, limit: int = 200) -> DataFrame:
+        return glossary(self.entities, self.facts, limit)
+
+    def commit(self, episodes: DataFrame, mentions: DataFrame, claims: DataFrame) -> None:
+        """Take in episodes (id, source, source_ref, summary, occurred_at), the entities that they mention and their claims; known ones change nothing."""
+        fresh, _ = new_and_known(episodes, self.episodes)
+        self.entities = merge_entities(self.entities, mentions)
+        self.facts = apply_facts(self.facts, claims, self.entities, self.episodes)
+        self.episodes = self.episodes.unionByName(fresh.select(*self.episodes.columns))
+
+    def put_cursor(self, cursors: DataFrame) -> None:
+        """Cursors by path."""
+        self.cursors = self.cursors.join(cursors.select("path"), "path", "left_anti").unionByName(cursors.select(*self.cursors.columns))

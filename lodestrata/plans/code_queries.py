@@ -70,7 +70,7 @@ def j06_external_symbols(spark, d):
     return code.with_external(b.symbols().where("symbol % 3 <> 0"), b.occurrences())
 
 
-SCOPES = "scopes AS (SELECT l_suppkey AS file, l_orderkey AS scope, min(l_shipdate_n) AS start, max(l_shipdate_n) + 20 AS stop FROM (SELECT *, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS l_shipdate_n FROM lineitem WHERE l_linenumber <= 2) GROUP BY 1, 2)"
+SCOPES = "scopes AS (SELECT l_suppkey AS file, l_orderkey AS scope, min(l_shipdate_n) AS start, max(l_shipdate_n) + 20 AS stop FROM (SELECT *, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS l_shipdate_n FROM lineitem) GROUP BY 1, 2)"
 POINTS = "points AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate) AS id, l_suppkey AS file, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS line, l_orderkey AS symbol, l_linenumber = 1 AS is_definition FROM lineitem)"
 
 
@@ -81,7 +81,7 @@ POINTS = "points AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l
 def j07_enclosing_scope(spark, d):
     li = Bed(spark, d).raw("lineitem")
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
-    scopes = li.where("l_linenumber <= 2").groupBy(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("scope")).agg(F.min(day).alias("start"), (F.max(day) + 20).alias("stop"))
+    scopes = li.groupBy(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("scope")).agg(F.min(day).alias("start"), (F.max(day) + 20).alias("stop"))
     points = li.select(F.monotonically_increasing_id().alias("id"), F.col("l_suppkey").alias("file"), day.alias("line"), F.col("l_orderkey").alias("symbol"), (F.col("l_linenumber") == 1).alias("is_definition"))
     return code.enclosing_scope(points, scopes).drop("id")
 

@@ -70,7 +70,7 @@ def u04_distinct_nodes(spark, d):
 
 @query("g01_distance", None)
 def g01_distance(spark, d):
-    """The number of steps from the first region to the first part; tests check it against a search in Python."""
+    """The number of steps from the first region to the first part."""
     b = Bed(spark, d)
     adj = graph.adjacency(b.edges()).select("node", "other").distinct()
     one = lambda k: spark.range(1).select(F.lit(k).alias("node"))

@@ -74,21 +74,21 @@ def j24_provenance(spark, d):
     return M.provenance(facts, b.raw("events").select(F.col("event_id").alias("id"), F.col("ts").alias("occurred_at")))
 
 
-@query("j25_anti", "SELECT event_id AS id FROM events WHERE event_id NOT IN (SELECT o_orderkey FROM orders)")
+@query("j25_anti", "SELECT event_id AS id FROM events WHERE event_id NOT IN (SELECT o_orderkey * 2 FROM orders)")
 def j25_anti(spark, d):
     b = Bed(spark, d)
-    return M.new_and_known(b.raw("events").select(F.col("event_id").alias("id")), b.raw("orders").select(F.col("o_orderkey").alias("id")))[0]
+    return M.new_and_known(b.raw("events").select(F.col("event_id").alias("id")), b.raw("orders").select((F.col("o_orderkey") * 2).alias("id")))[0]
 
 
-@query("j25_semi", "SELECT event_id AS id FROM events WHERE event_id IN (SELECT o_orderkey FROM orders)")
+@query("j25_semi", "SELECT event_id AS id FROM events WHERE event_id IN (SELECT o_orderkey * 2 FROM orders)")
 def j25_semi(spark, d):
     b = Bed(spark, d)
-    return M.new_and_known(b.raw("events").select(F.col("event_id").alias("id")), b.raw("orders").select(F.col("o_orderkey").alias("id")))[1]
+    return M.new_and_known(b.raw("events").select(F.col("event_id").alias("id")), b.raw("orders").select((F.col("o_orderkey") * 2).alias("id")))[1]
 
 
 @query("j26_recall", None)
 def j26_recall(spark, d):
-    """Entities of a name with the number of their facts and newest episodes; tests hold a version in Python."""
+    """Entities of a name with the number of their facts and newest episodes."""
     b = Bed(spark, d)
     ents = b.entities().withColumn("last_seen", F.lit("2024-01-01").cast("timestamp"))
     facts = _facts(b).withColumn("episodes", F.array(F.concat_ws("|", "src", "relation", "dst")))

@@ -25,5 +25,5 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
-for _module in ("git_queries", "code_queries", "scalar_queries", "graph_queries", "memory_queries", "service_queries"):
+for _module in ("git_queries", "code_queries", "scalar_queries", "graph_queries", "memory_queries", "service_queries", "source_queries", "store_queries"):
     importlib.import_module(f"lodestrata.plans.{_module}")

@@ -9,13 +9,17 @@ from lodestrata.functions import scalars as S
 from lodestrata.plans.registry import query
 from lodestrata.plans.testbed import REQUESTS, Bed, sql
 
-NORM = "regexp_replace(lower(trim({x}, ' ')), '[ _]+', '-', 'g')"
-SLUG = f"regexp_replace({NORM}, '[^a-z0-9-]', '', 'g')"
+NORM = r"regexp_replace(lower(regexp_replace({x}, '^[\s\x0B\x{{85}}\p{{Z}}]+|[\s\x0B\x{{85}}\p{{Z}}]+$', '', 'g')), '[ _]+', '-', 'g')"
+SLUG = f"regexp_replace({NORM}, '[^a-z0-9-]', '', 'g')"  # NORM keeps its doubled braces for format()
 
 
-@query("c01_normalize", f"SELECT p_partkey, {NORM.format(x='p_name')} AS name FROM part")
+WRAPPED = "concat(chr(CAST(9 + p_partkey % 5 AS INTEGER)), chr(160), p_name, '_', p_brand, chr(8195), chr(10))"
+
+
+@query("c01_normalize", f"SELECT p_partkey, {NORM.format(x=WRAPPED)} AS name FROM part")
 def c01_normalize(spark, d):
-    return Bed(spark, d).raw("part").select("p_partkey", S.normalize("p_name").alias("name"))
+    odd = F.concat(F.chr(F.lit(9) + F.col("p_partkey") % 5), F.lit("\u00a0"), "p_name", F.lit("_"), "p_brand", F.lit("\u2003\n"))
+    return Bed(spark, d).raw("part").select("p_partkey", S.normalize(odd).alias("name"))
 
 
 @query("c02_slugify", f"SELECT c_custkey, {SLUG.format(x='c_name')} AS slug FROM customer")
@@ -105,9 +109,11 @@ def c23_table_column(spark, d):
     return Bed(spark, d).raw("part").select("p_partkey", S.table_column(F.concat("p_brand", F.lit("."), "p_type")).alias("x")).select("p_partkey", "x.*")
 
 
-@query("c27_ancestors", "SELECT n_nationkey, [concat('/a/b/', n_name, '/c'), concat('/a/b/', n_name), '/a/b'] AS paths FROM nation")
+@query("c27_ancestors", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN ['/a'] WHEN n_nationkey % 3 = 1 THEN [concat('/a/b/', n_name), '/a/b'] ELSE [concat('/a/b/', n_name, '/c'), concat('/a/b/', n_name), '/a/b'] END AS paths FROM nation")
 def c27_ancestors(spark, d):
-    return Bed(spark, d).raw("nation").select("n_nationkey", S.ancestors(F.concat(F.lit("/a/b/"), "n_name", F.lit("/c"))).alias("paths"))
+    k = F.col("n_nationkey") % 3
+    path = F.when(k == 0, "/a/").when(k == 1, F.concat(F.lit("/a//b/./"), "n_name", F.lit("/x/.."))).otherwise(F.concat(F.lit("/a/b/"), "n_name", F.lit("/c")))
+    return Bed(spark, d).raw("nation").select("n_nationkey", S.ancestors(path).alias("paths"))
 
 
 @query("f08_request_filter", sql(REQUESTS, body="SELECT * FROM requests WHERE lower(method) = 'click' AND contains(path, '/u/1') AND status_code BETWEEN 200 AND 400"))

@@ -24,6 +24,11 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """The name of a new folder in the shared one."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: its lineage is cut, and lost executors cost nothing."""
     path = f"{shared_root(df.sparkSession)}/cut-{uuid.uuid4().hex}"

@@ -50,7 +50,7 @@ class Bed:
 
     def ranges(self) -> DataFrame:
         day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
-        return self.raw("lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("file"), day.alias("line"), (day + 3).alias("end_line"), F.col("l_quantity").cast("long").alias("count"))
+        return self.raw("lineitem").select(F.col("l_suppkey").alias("file"), day.alias("line"), (day + 3).alias("end_line"), F.col("l_quantity").cast("long").alias("count"))
 
     def requests(self) -> DataFrame:
         k = F.get_json_object("props", "$.k")
@@ -95,7 +95,7 @@ IMPLS = "impls AS (SELECT b.base, p.p_partkey AS impl FROM part p JOIN (SELECT p
 COVERAGE = "coverage AS (SELECT l_partkey AS symbol, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS hit_count FROM lineitem GROUP BY l_partkey)"
 DAY = "date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE))"
 SPANS = f"spans AS (SELECT l_suppkey AS file, l_partkey AS symbol, min({DAY}) AS line, min({DAY}) AS end_line FROM lineitem GROUP BY 1, 2)"
-RANGES = f"ranges AS (SELECT l_suppkey AS file, {DAY} AS line, {DAY} + 3 AS end_line, CAST(l_quantity AS BIGINT) AS count FROM lineitem WHERE l_returnflag = 'R')"
+RANGES = f"ranges AS (SELECT l_suppkey AS file, {DAY} AS line, {DAY} + 3 AS end_line, CAST(l_quantity AS BIGINT) AS count FROM lineitem)"
 K = "coalesce(json_extract_string(props, '$.k'), {})"
 REQUESTS = f"requests AS (SELECT event_id AS id, event_type AS method, concat('/u/', user_id, '/', {K.format(chr(39) * 2)}) AS path, CAST(event_id % 5 * 100 + 100 AS INTEGER) AS status_code, ts AS started_at FROM events)"
 NODES = "nodes AS (SELECT 'module' AS type, CAST(r_regionkey AS VARCHAR) AS id, r_name AS name FROM region UNION ALL SELECT 'class', CAST(n_nationkey AS VARCHAR), n_name FROM nation UNION ALL SELECT 'function', CAST(s_suppkey AS VARCHAR), s_name FROM supplier UNION ALL SELECT 'table', CAST(p_partkey AS VARCHAR), p_name FROM part)"

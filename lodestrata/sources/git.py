@@ -5,6 +5,7 @@ from __future__ import annotations
 import subprocess
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -45,6 +46,18 @@ def parse_blame(path: str, porcelain: str) -> Iterator[tuple]:
             head[word] = rest
 
 
+def blame_rows(texts: DataFrame) -> DataFrame:
+    """The rows of porcelain texts (path, porcelain), file by file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.split()[0] for f in BLAME.split(", ")]
+        for pdf in batches:
+            for path, text in zip(pdf["path"], pdf["porcelain"]):
+                yield pd.DataFrame(list(parse_blame(path, text or "")), columns=names)
+
+    return texts.select("path", "porcelain").mapInPandas(run, BLAME)
+
+
 class BlameSource(DataSource):
     """Line authorship of a repository's tracked files, a partition for each file (options: repo)."""
 

@@ -142,6 +142,16 @@ def references(files: DataFrame) -> DataFrame:
     return files.select("file", "text").mapInPandas(run, REFS)
 
 
+# Folders of the framework whose code no class loader knows.
+FRAMEWORK_DIRS = ("routes", "database/migrations", "config", "bootstrap")
+
+
+def framework_references(files: DataFrame) -> DataFrame:
+    """References in the PHP files of the framework's own folders (file: path from the repository's root, text)."""
+    inside = F.col("file").rlike("^(" + "|".join(FRAMEWORK_DIRS) + r")/(.*/)?[^/]*\.php$")
+    return references(files.where(inside))
+
+
 def bind(refs: DataFrame, symbols: DataFrame, package: str = "scip-php composer local/app 0") -> DataFrame:
     """References with the symbol whose descriptor they name, or a made-up one."""
     wanted = F.when(F.col("kind") == "class", F.concat(F.replace("name", F.lit("\\"), F.lit("/")), F.lit("#"))).otherwise(string_ref("kind", "name"))

@@ -7,6 +7,7 @@ read document by document, so one document is all that is decoded at a time.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -99,17 +100,53 @@ def document(data: bytes) -> tuple[str, list[tuple], list[tuple]]:
     return path, occurrences, symbols
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each source document of the index files below path."""
+def decoded(contents: DataFrame, at_once: int = 200) -> DataFrame:
+    """A row for each source document of index files (content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for raw in pdf["content"]:
-                for n, v in fields(bytes(raw)):
-                    if n == INDEX_DOCUMENT:
-                        yield pd.DataFrame([document(v)], columns=["file", "occurrences", "symbols"])
+                found = (document(v) for n, v in fields(bytes(raw)) if n == INDEX_DOCUMENT)
+                while rows := list(islice(found, at_once)):
+                    yield pd.DataFrame(rows, columns=["file", "occurrences", "symbols"])
+
+    return contents.select("content").mapInPandas(run, DOCUMENTS)
+
+
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each source document of the index files below path."""
+    return decoded(spark.read.format("binaryFile").load(path))
+
+
+def _bytes_of(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def _field(number: int, value: int | bytes) -> bytes:
+    if isinstance(value, int):
+        return _bytes_of(number << 3) + _bytes_of(value)
+    return _bytes_of(number << 3 | 2) + _bytes_of(len(value)) + value
+
+
+def encoded(docs: DataFrame) -> DataFrame:
+    """content: an index file with one document for each row of docs (file, occurrences array<struct<symbol, range, roles>>)."""
+
+    @F.pandas_udf("binary")
+    def make(files: pd.Series, occurrences: pd.Series) -> pd.Series:
+        out = []
+        for file, rows in zip(files, occurrences):
+            parts = [_field(DOC_PATH, file.encode())]
+            for o in rows:
+                packed = b"".join(_bytes_of(int(x)) for x in o["range"])
+                parts.append(_field(DOC_OCCURRENCE, _field(OCC_RANGE, packed) + _field(OCC_SYMBOL, o["symbol"].encode()) + _field(OCC_ROLES, int(o["roles"]))))
+            out.append(_field(INDEX_DOCUMENT, b"".join(parts)))
+        return pd.Series(out)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, DOCUMENTS)
+    return docs.select(make("file", "occurrences").alias("content"))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:

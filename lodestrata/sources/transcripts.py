@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.functions.scalars import content_text, redact, stable_id
+from lodestrata.functions.scalars import content_text, redact, stable_id, trimmed
 
 LIMIT, LEAST_TURNS = 16_000, 3
 EPISODE = "source string, source_ref string, text string, occurred_at timestamp, cwd string"
@@ -118,7 +118,7 @@ def seed_notes(spark: SparkSession, path: str) -> DataFrame:
     has = F.col("value").rlike(front)
     head, body = F.regexp_extract("value", front, 1), F.when(has, F.regexp_extract("value", front, 2)).otherwise(F.col("value"))
     told = F.regexp_replace(F.trim(F.regexp_extract(head, r"(?m)^description:\s*(.*)$", 1)), "^[\"']|[\"']$", "")
-    return rows.select(stable_id("source_ref").alias("id"), "source_ref", redact(F.trim(F.concat_ws("\n\n", F.nullif(told, F.lit("")), body))).alias("text"))
+    return rows.select(stable_id("source_ref").alias("id"), "source_ref", redact(trimmed(F.concat_ws("\n\n", F.nullif(told, F.lit("")), body))).alias("text"))
 
 
 def quiet_files(spark: SparkSession, path: str, before: str) -> DataFrame:
