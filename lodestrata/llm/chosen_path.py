@@ -408,11 +408,16 @@ def meetings(texts: DataFrame, width: int, percent: int) -> DataFrame:
     return texts.mapInArrow(run, "key long, side int, id long")
 
 
-def _met(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """key, side, id, n0, n1, n2 (documents on each side) of keys at which documents of several components can meet."""
+def _able(keys: DataFrame) -> DataFrame:
+    """key, side, id, n0, n1, n2 (documents on each side) of keys at which documents can meet."""
     of = [F.count_if(F.col("side") == k).alias(f"n{k}") for k in range(3)]
-    sizes = _labelled(keys, labels).groupBy("key").agg(*of, F.min("label").alias("lo"), F.max("label").alias("hi"))
-    return keys.join(sizes.where("lo <> hi and (n0 > 1 or n1 > 0 and n2 > 0)").drop("lo", "hi"), "key")
+    return keys.join(keys.groupBy("key").agg(*of).where("n0 > 1 or n1 > 0 and n2 > 0"), "key")
+
+
+def _met(able: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Those rows of able at whose keys documents of several components meet."""
+    sides = _labelled(able.select("key", "id"), labels).groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return able.join(sides.where("lo <> hi").select("key"), "key")
 
 
 def _blocks(met: DataFrame) -> DataFrame:
@@ -489,7 +494,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     scratch.drop(*tables, many)
     if rest.limit(1).count():
         texts = scratch.write(search.with_texts(rest.select("id").distinct()).repartition("id"), "texts")
-        keys = scratch.write(meetings(texts, width, percent), "keys")
+        every = scratch.write(meetings(texts, width, percent), "keys")
+        keys = scratch.write(_able(every), "able")
+        scratch.drop(every)
         few = F.col("n0") + F.col("n1") + F.col("n2") <= SMALL
         for size in (few, ~few):  # what the small ones join need not meet at the large ones
             for all_pairs in (False, True):
