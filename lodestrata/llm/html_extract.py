@@ -14,6 +14,7 @@ Null or empty html gives an empty text.  Unclosed elements, stray end tags, raw
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -22,7 +23,9 @@ from pyspark.sql import DataFrame
 
 from lodestrata.llm.common import batch, rows_of, short_batches
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|<[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|[^<]+|<", re.S)
+#: A quote sign is one only behind an equals sign; elsewhere in a tag it is a letter like others.
+TAG = r"""</?[a-zA-Z](?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*(?:>|\Z)"""
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|" + TAG + r"|[^<]+|<", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"\shidden(?:[\s=>/]|\Z)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -33,6 +36,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
+P_BARRIER = frozenset("table td th button object template".split())
 DROPPED = frozenset("script style noscript template head title nav footer aside form button select option textarea iframe object embed svg canvas math audio video map menu dialog label input noembed noframes xmp".split())
 PARAGRAPH = frozenset("p pre blockquote td li dd".split())
 CONTAINER = frozenset("article main section div body td blockquote html".split())
@@ -54,12 +58,15 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("name", "parent", "kids", "points", "marks", "good", "chars", "link_chars", "lost")
+    __slots__ = ("name", "parent", "kids", "points", "marks", "good", "chars", "link_chars", "lost", "open_p", "inside")
 
     def __init__(self, name: str, parent: Node | None, marks: frozenset[str] = frozenset()):
         self.name, self.parent, self.kids, self.points, self.marks = name, parent, [], 0.0, marks
         self.good, self.chars, self.link_chars = bool(marks & GOOD_WORDS), 0, 0
         self.lost = parent is not None and parent.lost
+        # the paragraph that a block here would end, and whether an article is around
+        self.open_p = self if name == "p" else parent.open_p if parent is not None and name not in P_BARRIER else None
+        self.inside = name in ("article", "main") or parent is not None and parent.inside
 
 
 def _marks(tag: str) -> frozenset[str]:
@@ -77,16 +84,25 @@ def parse(html: str, by_marks: bool = True) -> Node:
     A dropped element is opened and ended as any other, but hangs on no parent's list.
     """
     root = node = Node("html", None)
-    raw = ""
+    raw, opened = "", Counter()
+
+    def close(at: Node) -> None:
+        """End an open element and all that is open in it."""
+        nonlocal node
+        while node is not at.parent:
+            opened[node.name] -= 1
+            node = node.parent
+
     for m in TOKEN.finditer(html):
         t = m.group()
         if raw:  # up to its end tag, all is text
             if t[:2] == "</" and (n := NAME.match(t)) and n[1].lower() == raw:
-                raw, node = "", node.parent
+                raw = ""
+                close(node)
             continue
         if t[0] != "<" or t == "<":
             if node.name == "head" and t.strip():
-                node = node.parent
+                close(node)
             if not node.lost:
                 node.kids.append(t)
             continue
@@ -96,42 +112,38 @@ def parse(html: str, by_marks: bool = True) -> Node:
             continue
         name = n[1].lower()
         if t[1] == "/":
-            at = _open(node, name)
+            at = _open(node, name) if opened[name] else None
             if at is not None:
-                node = at.parent
+                close(at)
             continue
         if t[-1] != ">":  # the page ends inside this tag
             continue
-        if name == "body" or node.name == "head" and name not in HEAD:  # ends an open head
+        if opened["head"] and (name == "body" or node.name == "head" and name not in HEAD):  # ends an open head
             at = node
             while at.parent is not None and at.name not in ("head", "template"):
                 at = at.parent
             if at.name == "head":
-                node = at.parent
+                close(at)
         if name in VOID:
             if not node.lost:
                 node.kids.append(" ") if name in ("br", "wbr") else name == "hr" and node.kids.append(Node("hr", node))
             continue
         if name == "body" or name == "html":
             continue
-        if name in CLOSES_P:
-            at = node
-            while at.parent is not None and at.name != "p" and at.name not in ("table", "td", "th", "button", "object", "template"):
-                at = at.parent
-            if at.name == "p":
-                node = at.parent
+        if name in CLOSES_P and node.open_p is not None:
+            close(node.open_p)
         if name in OWN_KIND:
             kind, within = OWN_KIND[name]
             at = node
-            while at.parent is not None and at.name not in within.split():
+            while any(opened[k] for k in kind.split()) and at.parent is not None and at.name not in within.split():
                 if at.name in kind.split():  # of a cell and its row, a row ends both
-                    node = at.parent
+                    close(at)
                 elif at.lost and _stops(at, name):
                     break
                 at = at.parent
         marks = _marks(t) if "=" in t and not node.lost else frozenset()
         kid = Node(name, node, marks)
-        bad = kid.lost or name in DROPPED or (name == "header" and not _inside(node)) or HIDDEN.search(t) or (by_marks and marks & BAD_WORDS and name not in ("article", "main", "p", "h1") and not marks & {"article", "articlebody"})
+        bad = kid.lost or name in DROPPED or (name == "header" and not node.inside) or HIDDEN.search(t) or (by_marks and marks & BAD_WORDS and name not in ("article", "main", "p", "h1") and not _in_sentence(node, name) and not marks & {"article", "articlebody"})
         if bad:
             if t.endswith("/>") and name == "svg":
                 continue
@@ -139,10 +151,16 @@ def parse(html: str, by_marks: bool = True) -> Node:
             raw = name if name in RAW else ""
         else:
             node.kids.append(kid)
+        opened[name] += 1
         node = kid
     return root
 
 
+def _in_sentence(node: Node, name: str) -> bool:
+    """Whether an inline element stands behind words of its parent, and so is part of a sentence whatever its class says."""
+    return name not in BLOCK and bool(node.kids) and isinstance(node.kids[-1], str) and node.kids[-1].rstrip()[-1:].isalnum()
+
+
 def _stops(at: Node, name: str) -> bool:
     """Whether an item, row or cell of that name inside the dropped element at leaves open what is around it."""
     return at.name == "template" or name in ("li", "dt", "dd", "option") and at.name in APART and at.name not in ("address", "div", "p")
@@ -159,14 +177,6 @@ def _open(node: Node, name: str) -> Node | None:
     return at if at.parent is not None else None
 
 
-def _inside(node: Node | None) -> bool:
-    while node is not None:
-        if node.name in ("article", "main"):
-            return True
-        node = node.parent
-    return False
-
-
 def _measure(root: Node) -> list[Node]:
     """Fill in the text lengths from the leaves up; the elements in page order."""
     order, stack = [], [root]

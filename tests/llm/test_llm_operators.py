@@ -16,7 +16,7 @@ from lodestrata.llm.anisotropic_search import Codebook, search, search_block
 from lodestrata.llm.chunked_encoding import ChunkEncoder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-ODD = [None, "", " ", "\n\n", "a", "don't I'll x's", "<|endoftext|> <|startoftext|>", "É é ñ̃x", "tab\there  two", "a\r\nb c", "日本 語テ", "a.\nThe b,, c.. d'", "x\x1c y\x1fz", "🙂 a🙂", "12 345a", "x" * 5000, "ab c " * 4000, "a b", "Σίσυφος ΣΑΣ", "A1. B2,", "naïve, Über."]
+ODD = [None, "", " ", "\n\n", "a", "don't I'll x's", "<|endoftext|> <|startoftext|>", "É é ñ̃x", "tab\there  two", "a\r\nb c", "日本 語テ", "a <|endoftext|> b", "a.\nThe b,, c.. d'", "x\x1c y\x1fz", "🙂 a🙂", "12 345a", "x" * 5000, "ab c " * 4000, "a b", "Σίσυφος ΣΑΣ", "A1. B2,", "naïve, Über."]
 
 
 def table_of(spark, texts, **more):
@@ -33,6 +33,27 @@ def corpus(n, seed=0, letters="etaoinshrdlu"):
 # 1: main text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<p title=it's>Hello there, this is text.</p><p>More text, it's here.</p>", "Hello there, this is text.\nMore text, it's here."),
+        ("<article><p title='a > b' data-x=\"c > d\">Quoted signs, kept out.</p></article>", "Quoted signs, kept out."),
+        ("<article>Story about the <span class='related'>related</span> events.</article>", "Story about the related events."),
+        ("<article><p>Prose, as it goes.</p><span class=share>Share this</span></article>", "Prose, as it goes."),
+    ],
+)
+def test_main_text_of_attributes_and_inline_marks(html, text):
+    assert html_extract.main_text(html) == text
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    began = time.process_time()
+    html_extract.parse("<div>" * 100_000 + "<p>Text, deep down.</p>" + "</span>" * 1000)
+    assert time.process_time() - began < 10
+
+
 @pytest.mark.parametrize(
     "html, text",
     [
@@ -411,6 +432,18 @@ def test_chosen_path_against_all_pairs(spark, width, percent):
     assert chosen_path.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_repeated_ids_lose_no_links(spark):
+    """A doc_id with two texts is linked by either of them."""
+    r = random.Random(5)
+    words = lambda: [f"w{r.randrange(10**9)}" for _ in range(120)]
+    changed = lambda w: " ".join([*w[:60], "other", *w[61:]])
+    a, b = [words() for _ in range(8)], [words() for _ in range(8)]
+    rows = [(k, " ".join(a[k])) for k in range(8)] + [(k, " ".join(b[k])) for k in range(8)]
+    rows += [(100 + k, changed(a[k])) for k in range(8)] + [(200 + k, changed(b[k])) for k in range(8)]
+    got = chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.component_id) for x in got} == {(100 * h + k, k) for h in range(3) for k in range(8)}
+
+
 def test_large_nodes_are_settled(spark, monkeypatch):
     monkeypatch.setattr(chosen_path, "SMALL", 4)
     texts = near_texts()
