@@ -483,7 +483,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
         blocks.append(few)
         if depth == DEEPEST:
             break
-        deeper = scratch.write(_branched(many.join(sketch, "id"), 1, 0), "deeper")
+        dealt = many.join(sketch, "id").repartition("node", "id")  # a large node's rows lie together in few files
+        deeper = scratch.write(_branched(dealt, 1, 0), "deeper")
         level = search.several(deeper)
         tables += [many, deeper, level]
     leaves = blocks[0]
