@@ -355,27 +355,38 @@ def _classes() -> np.ndarray:
     return np.array(out)
 
 
+def _bit(size_class: int) -> np.uint64:
+    """The bit of a class.  Classes 64 apart share one, which only keeps more keys."""
+    return U(1) << U(size_class % 64)
+
+
 def meetings(texts: DataFrame, width: int, percent: int) -> DataFrame:
     """key, side, id: any two of texts (id, text) that reach percent have a key in common, on side 0 both or on sides 1 and 2.
 
     Sets of x and y shingles at the similarity share at least c = percent (x + y) /
     (100 + percent), so in an order common to all sets, here the rarest first, the first
     x - c + 1 of the one and the first y - c + 1 of the other have one in common.  A
-    document has keys for each class of sizes that it can be similar to.
+    document has keys for each class of sizes that it can be similar to, and for those
+    shingles that another document, one of that class, may have: what each hash bucket of
+    shingles is found in is counted, and its classes are kept as bits.
     """
     lows = _classes()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(COUNTED, np.int64)
+        n, found = np.zeros(COUNTED, np.int64), np.zeros(COUNTED, U)
         for (some,) in rows_of(batches, "text"):
             for s in shingle_sets(some, width):
-                np.add.at(n, (s % U(COUNTED)).astype(np.int64), 1)
+                at = (s % U(COUNTED)).astype(np.int64)
+                np.add.at(n, at, 1)
+                found[at] |= _bit(int(np.searchsorted(lows, len(s), "right")) - 1)
         at = np.flatnonzero(n)
-        yield _batch(bucket=(at, pa.int64()), n=(n[at], pa.int64()))
+        yield _batch(bucket=(at, pa.int64()), n=(n[at], pa.int64()), classes=(found[at].view(np.int64), pa.int64()))
 
-    several = texts.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
-    often = np.ones(COUNTED, np.int64)
+    counts = texts.mapInArrow(count, "bucket long, n long, classes long").groupBy("bucket")
+    several = counts.agg(F.sum("n").alias("n"), F.bit_or("classes").alias("classes")).where("n > 1").toArrow()
+    often, within = np.ones(COUNTED, np.int64), np.zeros(COUNTED, U)
     often[several.column("bucket").to_numpy()] = several.column("n").to_numpy()
+    within[several.column("bucket").to_numpy()] = several.column("classes").to_numpy().view(U)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sides, owners, held = [], [], [], 0
@@ -384,15 +395,17 @@ def meetings(texts: DataFrame, width: int, percent: int) -> DataFrame:
                 n = len(s)
                 if not n:
                     continue
-                times = often[(s % U(COUNTED)).astype(np.int64)]
-                order = np.lexsort((s, times))
-                s, times = s[order], times[order]
+                at = (s % U(COUNTED)).astype(np.int64)
+                order = np.lexsort((s, often[at]))
+                s, at = s[order], at[order]
+                times, classes = often[at], within[at]
                 least, most = -(-percent * n // 100), 100 * n // percent
                 own, first, last = (int(k) for k in np.searchsorted(lows, (n, least, most), "right") - 1)
                 for other in range(first, last + 1):
                     common = -(-percent * (n + max(least, int(lows[other]))) // (100 + percent))
                     head = s[: n - common + 1]
-                    head = head[times[: len(head)] > 1]  # what one set alone has joins nothing
+                    size = len(head)
+                    head = head[(times[:size] > 1) & ((classes[:size] & _bit(other)) > 0)]  # what no other set of that class has joins nothing
                     if len(head):
                         pair = U(min(own, other) * len(lows) + max(own, other) + 1)
                         keys.append(mixed(head + mixed(np.array([pair], U))))
