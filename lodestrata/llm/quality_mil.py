@@ -6,12 +6,15 @@ much each passage counts; the weighted mean of the encodings is scored.
 
 The model is fitted on the driver in numpy, on at most ``max_train`` labelled
 documents (a documented bound; documents are drawn by a hash of doc_id, evenly
-from both labels, and the class shares are put right in the intercept).  Every
+from both labels, and the class shares are put right in the intercept).  Of a
+document of more than ``max_passages`` passages the fit takes that many, spread
+evenly over its whole length, so what the driver gathers has a fixed bound.  Every
 document is scored, in whole.
 
 A null or empty text is a bag of one empty passage and gets a score like any
 other.  Rows of labels with a null quality or an unknown doc_id have no effect;
-repeated label rows count once (the larger label).  With no usable labels every
+repeated label rows count once (the larger label), and of rows that share a doc_id
+the fit takes the one with the smallest features, so it doesn't depend on scheduling.  With no usable labels every
 score is the prior 0.5.
 """
 
@@ -118,6 +121,11 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(feats) if feats else np.zeros((0, N_FEATURES), np.float32), np.array(counts, np.int64)
 
 
+def spread(n: int, most: int) -> np.ndarray:
+    """All of n places, or most of them at even distances, the first and the last among them."""
+    return np.arange(n) if n <= most else np.linspace(0, n - 1, most).round().astype(np.int64)
+
+
 class GatedAttention:
     """tanh encoder, gated attention over the passages of a bag, logistic score."""
 
@@ -181,8 +189,8 @@ class GatedAttention:
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def train(docs: DataFrame, labels: DataFrame, may_learn: Column, max_train: int = 4000) -> GatedAttention | None:
-    """Fit on labelled rows of docs that may_learn allows, max_train at most."""
+def train(docs: DataFrame, labels: DataFrame, may_learn: Column, max_train: int = 4000, max_passages: int = 64) -> GatedAttention | None:
+    """Fit on labelled rows of docs that may_learn allows: max_train at most, max_passages of each at most."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & may_learn).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
     if len(share) < 2:
@@ -195,10 +203,11 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, max_train: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_ids, texts, marks in rows_of(batches, "doc_id", "text", "quality"):
             x, counts = passages(texts)
-            ends = np.cumsum(counts)
-            yield batch("doc_id long, quality int, x binary", doc_id=doc_ids, quality=marks, x=[x[e - c : e].astype(np.float32).tobytes() for e, c in zip(ends, counts)])
+            bags = [x[e - c : e][spread(c, max_passages)].astype(np.float32).tobytes() for e, c in zip(np.cumsum(counts), counts)]
+            yield batch("doc_id long, quality int, x binary", doc_id=doc_ids, quality=marks, x=bags)
 
-    rows = chosen.mapInArrow(run, "doc_id long, quality int, x binary").dropDuplicates(["doc_id"]).collect()
+    told = chosen.mapInArrow(run, "doc_id long, quality int, x binary")
+    rows = told.groupBy("doc_id").agg(F.min("x").alias("x"), F.min("quality").alias("quality")).collect()
     rows.sort(key=lambda r: r.doc_id)
     y = np.array([r.quality for r in rows], float)
     if len(set(y)) < 2:
