@@ -128,6 +128,7 @@ def test_quality_gradients_and_odd_rows(spark):
     assert quality_mil.train(docs, spark.createDataFrame([], "doc_id long, quality int"), F.lit(True)) is None
     assert {x.score for x in quality_mil.score_quality(docs, None).collect()} == {0.5}
     assert quality_mil.score_quality(docs.limit(0), m).count() == 0
+    assert quality_mil.spread(5, 8).tolist() == [0, 1, 2, 3, 4] and quality_mil.spread(9, 3).tolist() == [0, 4, 8]
     whole = "word " * 300_000
     a, n = quality_mil.passages([whole])
     assert n[0] == len(a) == -(-len(whole) // quality_mil.PASSAGE)
@@ -340,6 +341,52 @@ def test_search_recall_and_scores(spark):
     assert few.count() == 4
 
 
+def test_quality_fit_is_bounded_and_fixed(spark):
+    rows = [(i, ("A good long sentence, plainly told. " if i % 2 else "$$ # buy | now ## ") * (30 + 3000 * (i == 4))) for i in range(40)]
+    rows += [(7, "another text of this id"), (7, None), (None, "no id")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, None), (None, 1)], "doc_id long, quality int")
+    fits = []
+    for some in (rows, rows[::-1]):
+        fits.append(quality_mil.train(spark.createDataFrame(some, "doc_id long, text string").repartition(3), labels, F.lit(True), max_passages=4))
+    assert all(np.array_equal(fits[0].p[k], fits[1].p[k]) for k in fits[0].p)
+
+
+def test_search_of_doubles_repeated_rows_and_other_columns(spark, monkeypatch):
+    from lodestrata.llm import anisotropic_search
+
+    monkeypatch.setattr(anisotropic_search, "QUERIES", 7)  # several blocks of queries, several groups of them
+    monkeypatch.setattr(anisotropic_search, "TOGETHER", 2)
+    monkeypatch.setattr(anisotropic_search, "CANDIDATES", 100)
+    r = np.random.default_rng(8)
+    v = r.normal(size=(300, 6)) / 3
+    rows = [(i, x.tolist(), "clash", "clash") for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows + rows[:50], "vec_id long, embedding array<double>, rank string, block string")
+    before = spark.conf.get(common.RECORDS)
+    by = {}
+    for x in search(df, F.col("vec_id") % 10 == 0, k=5).collect():
+        by.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    assert spark.conf.get(common.RECORDS) == before
+    want = brute(np.arange(300), v, 5)
+    assert set(by) == set(range(0, 300, 10))
+    for q, got in by.items():
+        assert [x[1] for x in sorted(got)] == want[q]
+        assert all(abs(s - float(v[i] @ v[q])) < 1e-15 for _, i, s in got)
+
+
+def test_scan_finds_near_all_at_the_production_block():
+    from lodestrata.llm.anisotropic_search import CANDIDATES
+
+    r = np.random.default_rng(1)
+    v = r.normal(size=(CANDIDATES, 64)).astype(np.float32)
+    book = Codebook(64).fit(v[:5000])
+    ids, k = np.arange(CANDIDATES), 20
+    q, got, _ = search_block(book, ids, v, book.packed(v), ids[:50], v[:50], k)
+    exact = v[:50].astype(float) @ v.astype(float).T
+    exact[np.arange(50), np.arange(50)] = -np.inf
+    hits = sum(len(set(got[q == i]) & set(np.argsort(-exact[i])[:k])) for i in range(50))
+    assert hits / (50 * k) >= 0.98
+
+
 def test_scan_finds_near_all_without_reranking_everything():
     r = np.random.default_rng(0)
     v = r.normal(size=(3000, 32)).astype(np.float32)
