@@ -4,7 +4,12 @@ Quality classifier, language ID, line dedup, near-dedup, packing.  Each stage is
 function (spark, docs, sf_dir) -> DataFrame; what it returns is written as Parquet
 and read again as the next one's docs.  All but the last return the columns of
 documents.  No stage can be told in SQL as a whole (learned models), so there is no
-oracle; tests/llm holds brute-force versions of the stages.
+oracle; tests/llm compares the stages with plain versions on a small table.
+
+Null and empty texts: quality scores them like any other; what is left of them has no
+letter and goes in language ID.  Repeated rows are one group of near-duplicates, of
+which one row stays; rows without a doc_id are in no group and stay.  A table without
+usable labels or languages teaches nothing: that stage then keeps every document.
 """
 
 from __future__ import annotations
@@ -24,14 +29,16 @@ LANGUAGE_THRESHOLD = 0.4
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the attention classifier predicts to be good."""
+    """Documents that the attention classifier predicts to be good; all of them if no labels are usable."""
     model = quality_mil.train(docs, table(spark, sf_dir, "labels"), id_crc() % 5 != 0)
     return quality_mil.score_quality(docs.select(*COLUMNS), model, QUALITY_THRESHOLD).where("predicted = 1").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have letters and whose language the network can tell."""
+    """Documents that have letters and whose language the network can tell; all of them if none has a language to learn from."""
     model = language_cnn.train(docs, id_crc() % 4 != 2)
+    if model is None:
+        return docs.select(*COLUMNS)
     told = language_cnn.identify(docs.select(*COLUMNS), model)
     return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_THRESHOLD)).select(*COLUMNS)
 
@@ -44,7 +51,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8.
+
+    Rows that share a doc_id are one document, of which each different text stays once.
+    """
     kept = chosen_path.near_duplicates(docs, width=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
     with_id = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return with_id.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
