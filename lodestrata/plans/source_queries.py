@@ -14,6 +14,10 @@ from lodestrata.plans.testbed import BLAME, CHANGES, COMMITS, MESSAGES, OCCURREN
 from lodestrata.sources import coverage, git, php, scip, transcripts
 
 
+#: Statements in one report, about 4 MB of JSON.
+STATEMENTS = 50_000
+
+
 def _text_files(df: DataFrame, name: str) -> str:
     """A shared folder with the lines of df (value)."""
     path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -21,10 +25,10 @@ def _text_files(df: DataFrame, name: str) -> str:
     return path
 
 
-def _whole_files(df: DataFrame, name: str) -> str:
+def _whole_files(df: DataFrame, name: str, **options: str) -> str:
     """A shared folder with a file for each row of df (g, value)."""
     path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.select("value", "g").repartition("g").write.partitionBy("g").text(path)
+    df.select("value", "g").repartition("g").write.partitionBy("g").text(path, **options)
     return path
 
 
@@ -41,14 +45,20 @@ def s18_gocover(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s19_istanbul", sql(RANGES, body="SELECT concat('f', file, '.ts') AS file, line, end_line, count FROM ranges"))
 def s19_istanbul(spark: SparkSession, d: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("file").orderBy("line", "end_line", "count")).cast("string")
-    r = Bed(spark, d).ranges().withColumn("n", n).withColumn("path", _text("/r/f", F.col("file"), ".ts"))
+    ranges = Bed(spark, d).ranges()
+    n = F.row_number().over(Window.partitionBy("file").orderBy("line", "end_line", "count"))
+    # a report holds about STATEMENTS at most, so there are more reports for more rows; a file of more statements lies in several
+    r = ranges.withColumn("n", n).withColumn("part", F.floor(F.col("n") / STATEMENTS)).withColumn("path", _text("/r/f", F.col("file"), ".ts"))
     place = lambda c: F.struct(F.col(c).cast("int").alias("line"), F.lit(0).alias("column"))
-    entries = F.map_from_entries(F.collect_list(F.struct("n", F.struct(place("line").alias("start"), place("end_line").alias("end")))))
-    hits = F.map_from_entries(F.collect_list(F.struct("n", "count")))
-    files = r.groupBy("file", "path").agg(entries.alias("statementMap"), hits.alias("s"))
-    whole = files.groupBy((F.col("file") % 8).alias("g")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("path", F.struct("path", "statementMap", "s"))))).alias("value"))
-    return coverage.istanbul(spark, _whole_files(whole, "istanbul"), root="/r")
+    told = F.collect_list(F.struct(F.col("n").cast("string").alias("n"), F.struct(place("line").alias("start"), place("end_line").alias("end")).alias("place"), "count"))
+    pairs = lambda c: F.map_from_entries(F.transform("told", lambda x: F.struct(x["n"], x[c])))
+    files = r.groupBy("file", "path", "part").agg(told.alias("told")).select("file", "path", "part", pairs("place").alias("statementMap"), pairs("count").alias("s"))
+    # as text before they meet in a report: {"path": {...}} without its braces
+    entry = F.to_json(F.create_map("path", F.struct("path", "statementMap", "s")))
+    reports = max(8, -(-ranges.count() // STATEMENTS))
+    texts = files.select(F.pmod(F.xxhash64("file", "part"), F.lit(reports)).alias("g"), F.substring(entry, F.lit(2), F.length(entry) - 2).alias("entry"))
+    whole = texts.groupBy("g").agg(_text("{", F.array_join(F.collect_list("entry"), ","), "}").alias("value"))
+    return coverage.istanbul(spark, _whole_files(whole, "istanbul", compression="gzip"), root="/r")
 
 
 @query("s20_clover", sql(RANGES, body="SELECT concat('f', file, '.php') AS file, line, line AS end_line, count FROM ranges"))

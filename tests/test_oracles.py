@@ -36,3 +36,15 @@ def test_remember_keeps_every_page_of_a_repeated_url(spark, tmp_path):
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     want = oracle_rows(con, registry.ORACLES["k08_remember"])
     assert len(want[1]) == len(urls) and spark_rows(registry.QUERIES["k08_remember"](spark, str(tmp_path))) == want
+
+
+def test_istanbul_reports_stay_small(spark, sf_dir, con, monkeypatch):
+    from lodestrata.plans import source_queries
+
+    paths, read = [], source_queries.coverage.istanbul
+    monkeypatch.setattr(source_queries.coverage, "istanbul", lambda spark, path, **x: (paths.append(path), read(spark, path, **x))[1])
+    monkeypatch.setattr(source_queries, "STATEMENTS", 100, raising=False)
+    assert spark_rows(registry.QUERIES["s19_istanbul"](spark, sf_dir)) == oracle_rows(con, registry.ORACLES["s19_istanbul"])
+    total = con.sql("SELECT count(*) FROM lineitem").fetchall()[0][0]
+    sizes = [r.n for r in spark.read.text(paths[0], wholetext=True).selectExpr("length(value) as n").collect()]
+    assert len(sizes) > 8 and max(sizes) < sum(sizes) / 8 and sum(sizes) > 60 * total  # no report has a share of the table
