@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -285,6 +286,19 @@ def test_symbol_index(spark, tmp_path):
     assert [tuple(r) for r in scip.impl_edges(docs).collect()] == [("s a/I#m().", "s a/B#m().")]
 
 
+def test_small_index_files_share_batches(spark):
+    rows = [(f"f{i}", [(f"s{i * 1000}", [i, 0, 200 * i], i % 2)] * (i % 3)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "file string, occurrences array<struct<symbol:string,range:array<int>,roles:int>>").coalesce(1)
+    contents = scip.encoded(docs)
+    for at_once in (20_000, 1):
+        got = scip.decoded(contents, at_once).collect()
+        assert [(r.file, [(o.symbol, o.range, o.roles) for o in r.occurrences], r.symbols) for r in got] == [(f, o, []) for f, o in rows]
+        assert all(o.enclosing == [] for r in got for o in r.occurrences)
+    files = [pa.record_batch([pa.array([bytes(r.content)])], ["content"]) for r in contents.collect()]
+    assert [b.num_rows for b in scip.documents_of(files, 20_000)] == [60]
+    assert [b.num_rows for b in scip.documents_of(files, 1)] == [1] * 60
+
+
 def test_connection_strings():
     assert catalogs.parse_dsn("mysql://u:p%40@h/db") == {"kind": "mysql", "url": "jdbc:mysql://h:3306/db", "user": "u", "password": "p@"}
     assert catalogs.dsn_from_env("DB_CONNECTION=pgsql\nDB_DATABASE='x' \nDB_USERNAME=u\nDB_PASSWORD=s # note\n") == "postgres://u:s@127.0.0.1:5432/x"
