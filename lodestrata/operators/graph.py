@@ -6,6 +6,7 @@ source_domain; src and dst are node keys ``type:id``.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from lodestrata.plans.storage import checkpointed
 NODE = ("type", "id", "name", "file", "line")
 EDGE = ("type", "src", "dst", "confidence", "source_domain")
 MAX_DEPTH, GOD_NODES, SURPRISING = 10, 10, 20
+#: So many nodes (three numbers each) may go through the driver in a pass.
+BROADCAST_NODES = 2_000_000
 
 
 def key(kind: Column | str, ident: Column | str) -> Column:
@@ -165,31 +168,44 @@ def communities(nodes: DataFrame, edges: DataFrame, passes: int = 20) -> DataFra
     to the one of largest gain (w_ic - w_own) - k_i (S_c - S_own + k_i) / 2m, ties to
     the smaller community.  To keep simultaneous moves from swapping, only moves to a
     smaller community id are made in even passes and to a larger one in odd passes.
+
+    Nodes are numbered in the order of their keys.  The edges lie by node on the
+    executors' disks; up to BROADCAST_NODES nodes a pass sends out where each one is,
+    so edges are neither sorted nor shuffled in a pass; beyond, they are joined.
     """
-    known = nodes.select(key("type", "id").alias("node")).distinct()
-    w = edges.where("src <> dst").join(known.select(F.col("node").alias("src")), "src", "left_semi").join(known.select(F.col("node").alias("dst")), "dst", "left_semi")
-    adj = checkpointed(w.select(F.col("src").alias("node"), F.col("dst").alias("other"), "confidence").union(w.select("dst", "src", "confidence")).groupBy("node", "other").agg(F.sum("confidence").alias("w")))
-    strength = checkpointed(adj.groupBy("node").agg(F.sum("w").alias("k")))
-    twice = strength.agg(F.sum("k")).first()[0]
-    at = checkpointed(known.select("node", F.col("node").alias("c")))
-    if not twice:
-        return at.withColumnRenamed("c", "community")
-    idle = 0
-    for p in range(passes):
-        total = at.join(strength, "node").groupBy("c").agg(F.sum("k").alias("s"))
-        near = adj.join(at.withColumnRenamed("node", "other"), "other").groupBy("node", "c").agg(F.sum("w").alias("wic"))
-        own = at.withColumnRenamed("c", "own").join(strength, "node").join(total.select(F.col("c").alias("own"), F.col("s").alias("s_own")), "own")
-        inside = near.select("node", F.col("c").alias("own"), F.col("wic").alias("w_own"))
-        options = near.join(total, "c").join(own, "node").join(inside, ["node", "own"], "left")
-        gain = (F.col("wic") - F.coalesce("w_own", F.lit(0.0))) - F.col("k") * (F.col("s") - F.col("s_own") + F.col("k")) / twice
-        way = F.col("c") < F.col("own") if p % 2 == 0 else F.col("c") > F.col("own")
-        best = options.withColumn("gain", gain).where(way & (F.col("gain") > 1e-12)).groupBy("node").agg(F.min_by("c", F.struct(-F.col("gain"), "c")).alias("to"))
-        moved = checkpointed(at.join(best, "node", "left"))
-        idle = 0 if moved.where("to is not null").limit(1).count() else idle + 1
-        at = moved.select("node", F.coalesce("to", "c").alias("c"))
-        if idle == 2:
-            break
-    return at.withColumnRenamed("c", "community")
+    spark = nodes.sparkSession
+    known = checkpointed(nodes.select(key("type", "id").alias("node")).distinct().orderBy("node").withColumn("i", F.monotonically_increasing_id()))
+    sent = F.broadcast if known.count() <= BROADCAST_NODES else lambda df: df
+    w = edges.where("src <> dst").join(sent(known.select(F.col("node").alias("src"), F.col("i").alias("a"))), "src").join(sent(known.select(F.col("node").alias("dst"), F.col("i").alias("b"))), "dst")
+    both = w.select(F.col("a").alias("node"), F.col("b").alias("other"), "confidence").union(w.select("b", "a", "confidence"))
+    # as many parts as a shuffle has, so that what is kept stays dealt by node
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    adj = both.repartition(parts, "node").groupBy("node", "other").agg(F.sum("confidence").alias("w")).persist(StorageLevel.DISK_ONLY)
+    try:
+        strength = checkpointed(adj.groupBy("node").agg(F.sum("w").alias("k")))
+        twice = strength.agg(F.sum("k")).first()[0]
+        at = checkpointed(known.select(F.col("i").alias("node"), F.col("i").alias("c")).join(strength, "node", "left"))
+        idle = 0
+        for p in range(passes if twice else 0):
+            total = at.where("k is not null").groupBy("c").agg(F.sum("k").alias("s"))
+            # where each node with edges is: node, c, k, s
+            placed = checkpointed(at.where("k is not null").join(total, "c").select("node", "c", "k", "s"))
+            near = adj.join(sent(placed.select(F.col("node").alias("other"), "c", "s")), "other").groupBy("node", "c").agg(F.sum("w").alias("wic"), F.max("s").alias("s"))
+            own = placed.select("node", F.col("c").alias("own"), "k", F.col("s").alias("s_own"))
+            inside = F.max(F.when(F.col("c") == F.col("own"), F.col("wic"))).over(Window.partitionBy("node"))
+            options = near.join(own, "node").withColumn("w_own", inside)
+            gain = (F.col("wic") - F.coalesce("w_own", F.lit(0.0))) - F.col("k") * (F.col("s") - F.col("s_own") + F.col("k")) / twice
+            way = F.col("c") < F.col("own") if p % 2 == 0 else F.col("c") > F.col("own")
+            best = options.withColumn("gain", gain).where(way & (F.col("gain") > 1e-12)).groupBy("node").agg(F.min_by("c", F.struct(-F.col("gain"), "c")).alias("to"))
+            moved = checkpointed(at.join(best, "node", "left"))
+            idle = 0 if moved.where("to is not null").limit(1).count() else idle + 1
+            at = moved.select("node", F.coalesce("to", "c").alias("c"), "k")
+            if idle == 2:
+                break
+    finally:
+        adj.unpersist()
+    named = at.join(known.select(F.col("i").alias("node"), F.col("node").alias("name")), "node")
+    return named.join(known.select(F.col("i").alias("c"), F.col("node").alias("community")), "c").select(F.col("name").alias("node"), "community")
 
 
 def community_records(labels: DataFrame) -> DataFrame:

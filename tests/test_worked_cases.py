@@ -184,6 +184,15 @@ def test_communities_of_two_cliques(spark):
     assert {r.label for r in records} == {"src"}
 
 
+@pytest.mark.parametrize("most", [0, 100])
+def test_communities_with_and_without_sending_out_places(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "BROADCAST_NODES", most)
+    nodes = spark.createDataFrame([("file", n) for n in ("a", "b", "c", "d", "alone")], "type string, id string")
+    edges = spark.createDataFrame([("file:a", "file:b", 1.0), ("file:b", "file:a", 0.5), ("file:c", "file:d", 1.0), ("file:a", "file:a", 1.0), ("file:a", "file:none", 1.0)], "src string, dst string, confidence double")
+    got = {r.node: r.community for r in graph.communities(nodes, edges).collect()}
+    assert got == {"file:a": "file:a", "file:b": "file:a", "file:c": "file:c", "file:d": "file:c", "file:alone": "file:alone"}
+
+
 FACTS = memory.FACT
 CLAIM = "episode string, at timestamp, src string, relation string, dst string, fact string, valid_from string, confidence double, hint boolean"
 T = lambda s: dt.datetime.fromisoformat(s)
